@@ -6,24 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import chat, flac, mixing, packing
 from .common import read
 
 
+def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_chats(chat.with_probe(read(spark, sf_dir, "conversations"))))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(read(spark, sf_dir, "documents"))
 
 
+def op8_store_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digest(flac.store_texts(read(spark, sf_dir, "documents")))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sainte_lague_mix(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_format_chats": op5_format_chats,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_store_media": op8_store_media,
         "op9_mix_sources": op9_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_format_chats": chat.ORACLE}
