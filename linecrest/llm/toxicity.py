@@ -7,7 +7,8 @@ for every change of its score between a text and its copies, so mentions of a gr
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,40 +33,73 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
-def words(text: str | None) -> set[str]:
-    """The distinct words of a whole text, in lower case."""
-    return set(_WORD.findall((text or "").lower()))
+#: Word beginnings of so many characters count as terms of their own, as `begin*`.
+BEGINNINGS = (3, 4, 5, 6, 7)
 
 
-def counterfactuals(text: str | None) -> list[set[str]]:
+def words(text: str | None) -> Counter:
+    """The words of a whole text, in lower case, and how often each stands there."""
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def terms(found: Iterable[str]) -> set[str]:
+    """Words and their beginnings."""
+    out = set(found)
+    for n in BEGINNINGS:
+        out.update([w[:n] + "*" for w in found if len(w) > n])
+    return out
+
+
+#: A term whose share of the words is this much or more counts as fully dense.
+DENSE = 0.02
+
+
+def features(found: Counter, index: dict[str, int]) -> dict[int, float]:
+    """By number: 1 for each term that is there, and how dense it is (0 to 1) at its number plus the number of terms."""
+    counts: dict[int, int] = {}
+    for w, n in found.items():
+        if w in index:
+            counts[index[w]] = counts.get(index[w], 0) + n
+        for k in BEGINNINGS:
+            if len(w) > k and (i := index.get(w[:k] + "*")) is not None:
+                counts[i] = counts.get(i, 0) + n
+    total = DENSE * max(1, found.total()) if counts else 1
+    return {i: 1.0 for i in counts} | {len(index) + i: min(1.0, n / total) for i, n in counts.items()}
+
+
+def counterfactuals(text: str | None) -> list[Counter]:
     """The words of the text after each swap: every identity term of a sentence is replaced by the next of its kind."""
     said = [words(s) for s in _SENTENCE.split(text or "")]
     out = []
     for i, sentence in enumerate(said):
-        for term in sorted(sentence & _KIND.keys()):
-            terms = IDENTITY_TERMS[_KIND[term]]
-            other = terms[(terms.index(term) + 1) % len(terms)]
-            out.append(set().union(*said[:i], *said[i + 1 :], sentence - {term} | {other}))
+        for term in sorted(sentence.keys() & _KIND.keys()):
+            kind = IDENTITY_TERMS[_KIND[term]]
+            other = kind[(kind.index(term) + 1) % len(kind)]
+            swapped = Counter({other if w == term else w: n for w, n in sentence.items() if w != other})
+            swapped[other] += sentence[other]
+            out.append(sum(said[:i] + said[i + 1 :], swapped))
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]
+    index: dict[str, int]
+    weights: np.ndarray  # of terms, then of their densities
     bias: float
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(words(text) & self.weights.keys()))
+        found = features(words(text), self.index)
+        z = self.bias + sum(v * self.weights[i] for i, v in sorted(found.items()))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def _evidence(sample: DataFrame, least_documents: int, least_z: float, most_words: int) -> list[str]:
-    """The words whose rates in the two classes differ most, by a two-proportion z of at least least_z."""
+    """The terms whose rates in the two classes differ most, by a two-proportion z of at least least_z."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                w = sorted(words(text))
+                w = sorted(terms(words(text)))
                 yield pd.DataFrame({"word": w, "label": np.full(len(w), label, np.int32)})
 
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -76,58 +110,67 @@ def _evidence(sample: DataFrame, least_documents: int, least_z: float, most_word
     rate = F.col("n") / (n0 + n1)
     z = (F.col("k1") / n1 - (F.col("n") - F.col("k1")) / n0) / F.sqrt(rate * (1 - rate) * (1 / n0 + 1 / n1) + F.lit(1e-12))
     best = counts.where(F.col("n") >= least_documents).withColumn("z", z).where(F.abs("z") >= least_z)
-    return sorted(r["word"] for r in best.orderBy(F.abs("z").desc(), "word").limit(most_words).collect())
+    found = [(r["word"], r["z"]) for r in best.orderBy(F.abs("z").desc(), "word").limit(most_words).collect()]
+    # a word and its beginnings say much the same: the one that tells most stays, the longest among equals
+    kept: dict[str, bool] = {}  # False: a longer or shorter form of it is kept
+    for term, _ in sorted(found, key=lambda x: (-round(abs(x[1]), 6), -len(x[0].rstrip("*")), x[0])):
+        stem = term.rstrip("*")
+        shorter = any(kept.get(stem[:n] + "*") for n in range(1, len(stem) + 1))
+        longer = term.endswith("*") and any(ok and t.startswith(stem) for t, ok in kept.items())
+        kept[term] = not shorter and not longer
+    return sorted(t for t, ok in kept.items() if ok)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, least_documents: int = 5, least_z: float = 4.0, most_words: int = 2000, swap_penalty: float = 4.0, ridge: float = 1e-3) -> Model:
-    """Learn from at most per_class labelled documents of each class outside the held-out fold. Each class counts as it
-    does among the labels. Without examples of both classes every score is the share of label 1, or 0."""
+    """Learn from at most per_class labelled documents of each class outside the held-out fold. Without examples of
+    both classes every score is the share of label 1, or 0."""
     sample = samples.labelled(docs, labels, "toxic", per_class)
     told = labels.where(F.col("toxic").isin(0, 1) & (samples.fold(F.col("doc_id"), 5) != 0)).agg(F.avg(F.col("toxic").cast("double")).alias("p")).collect()[0]["p"]
     share = min(max(float(told or 0), 1e-6), 1 - 1e-6)
     vocabulary = _evidence(sample, least_documents, least_z, most_words)
     if not vocabulary:
-        return Model({}, float(np.log(share / (1 - share))))
+        return Model({}, np.zeros(0), float(np.log(share / (1 - share))))
     vocabulary = sorted({*vocabulary, *_KIND})
     index = {w: i for i, w in enumerate(vocabulary)}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def ids(found: set[str]) -> list[int]:
-            return sorted(index[w] for w in found & index.keys())
+        def ids(found: Counter) -> dict[int, float]:
+            return dict(sorted(features(found, index).items()))
 
         for batch in batches:
             rows = [(int(p), int(label), ids(words(t)), [ids(c) for c in counterfactuals(t)]) for p, t, label in zip(batch["place"], batch["text"], batch["label"], strict=True)]
             yield pd.DataFrame(rows, columns=["place", "label", "ids", "swaps"])
 
-    rows = sorted(sample.mapInPandas(present, "place long, label int, ids array<int>, swaps array<array<int>>").collect())
+    rows = sample.mapInPandas(present, "place long, label int, ids map<int,double>, swaps array<map<int,double>>").collect()
+    rows.sort(key=lambda x: (x["place"], x["label"], sorted(x["ids"].items())))
     y = np.array([r["label"] for r in rows], float)
     n = len(y)
 
-    def matrix(lists: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
+    def matrix(found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pairs = [(i, v) for x in found for i, v in x.items()]
+        return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array([i for i, _ in pairs], np.int64), np.array([v for _, v in pairs], float)
 
-    r, c = matrix([x["ids"] for x in rows])
+    r, c, v = matrix([x["ids"] for x in rows])
     swaps = [(i, s) for i, x in enumerate(rows) for s in x["swaps"]]
-    sr, sc = matrix([s for _, s in swaps])
+    sr, sc, sv = matrix([s for _, s in swaps])
     of = np.array([i for i, _ in swaps], np.int64)
-    # each class weighs as it does among the labels
-    weight = np.where(y == 1, share * n / max(y.sum(), 1), (1 - share) * n / max(n - y.sum(), 1))
-    w, bias = np.zeros(len(vocabulary)), float(np.log(share / (1 - share)))
+    weight = np.where(y == 1, n / 2 / max(y.sum(), 1), n / 2 / max(n - y.sum(), 1))  # both classes weigh the same
+    w, bias = np.zeros(2 * len(vocabulary)), 0.0
     speed, bias_speed = np.zeros_like(w), 0.0
     step = 4.0 / max(1.0, np.bincount(r, minlength=n).max(initial=1) ** 0.5)
     for _ in range(600):  # gradient descent with momentum
-        z = np.bincount(r, w[c], n) + bias
+        z = np.bincount(r, v * w[c], n) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        down = np.bincount(c, error[r], len(w)) + ridge * w
+        down = np.bincount(c, v * error[r], len(w)) + ridge * w
         if len(of):
-            change = np.bincount(sr, w[sc], len(of)) + bias - z[of]
+            change = np.bincount(sr, sv * w[sc], len(of)) + bias - z[of]
             pull = 2 * swap_penalty * change / n
-            down += np.bincount(sc, pull[sr], len(w))
+            down += np.bincount(sc, sv * pull[sr], len(w))
             own = np.bincount(of, pull, n)
-            down -= np.bincount(c, own[r], len(w))
+            down -= np.bincount(c, v * own[r], len(w))
         speed, bias_speed = 0.9 * speed - step * down, 0.9 * bias_speed - step * error.sum()
         w, bias = w + speed, bias + bias_speed
-    return Model({v: float(x) for v, x in zip(vocabulary, w, strict=True) if x}, float(bias))
+    return Model(index, w, float(bias))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
