@@ -516,7 +516,7 @@ def _decode_in_order(stream: bytes, head: tuple) -> np.ndarray:
 # --- DataFrames -------------------------------------------------------------------------------------------------------
 
 #: Bytes of payload that are coded side by side.
-SIDE_BY_SIDE = 6_000_000
+SIDE_BY_SIDE = 2_500_000
 
 
 def _groups(sizes: list[int]) -> Iterator[slice]:
