@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, flac, language, mixing, packing, quality, toxicity
+from . import chat, flac, language, mixing, mtree, packing, quality, toxicity
 from .common import read
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": op1_top_k,
         "op2_toxicity": op2_toxicity,
         "op3_language": op3_language,
         "op4_quality": op4_quality,
@@ -51,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_format_chats": chat.ORACLE}
+    return {"op1_top_k": mtree.ORACLE, "op5_format_chats": chat.ORACLE}
