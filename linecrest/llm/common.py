@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -90,3 +91,43 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(1, k):
             out = out * np.uint64(0xD1342543DE82EF95) + words[i : i + n]
     return mix(out)
+
+
+# --- tables that may be small -----------------------------------------------------------------------------------------
+
+#: Rows of a few numbers up to which a stored table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if a count shows that it has at most BROADCAST_ROWS; else
+    it is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+# --- connected components ---------------------------------------------------------------------------------------------
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and root, the smallest node that links reach, for every node of a link but the roots. links: a and b.
+    Large stars and small stars in turn (Kiveris et al. 2014), each round a table of the shared folder; a star's centre
+    is never gathered in one task, since the least neighbour is a partial aggregate and joins split what is uneven."""
+    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = _mark(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
+        edges = stage(edges, "large")
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")  # small star
+        now = _mark(edges)
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

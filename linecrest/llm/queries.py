@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, flac, language, mixing, mtree, packing, quality, toxicity
+from . import chat, flac, jaccard, language, mixing, mtree, packing, quality, toxicity
 from .common import read
 
 
@@ -42,6 +42,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sainte_lague_mix(read(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_store_media": op8_store_media,
         "op9_mix_sources": op9_mix_sources,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
