@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, flac, jaccard, language, mixing, mtree, packing, quality, toxicity
+from . import chat, flac, jaccard, language, mixing, mtree, packing, quality, substring, toxicity
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chat.with_probe(read(spark, sf_dir, "conversations"))))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language": op3_language,
         "op4_quality": op4_quality,
         "op5_format_chats": op5_format_chats,
+        "op6_repeated_passages": op6_repeated_passages,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_store_media": op8_store_media,
         "op9_mix_sources": op9_mix_sources,
