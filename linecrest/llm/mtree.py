@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAF, FANOUT = 32, 16
+LEAF, FANOUT = 256, 16
 BLOCK = 256
 _EXACT = float(1 << 52)
 
@@ -93,7 +93,16 @@ class Tree:
         return me
 
     def pack(self) -> bytes:
+        """Pages lie one after the other, so that a page's vectors are one block."""
         out = io.BytesIO()
+        pages = [n["rows"] for n in self.nodes if "rows" in n]
+        order = np.concatenate(pages)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.x, self.extra = self.ids[order], self.x[order], self.extra[order]
+        for n in self.nodes:
+            key = "rows" if "rows" in n else "heads"
+            n[key] = place[n[key]]
         inner = [i for i, n in enumerate(self.nodes) if "heads" in n]
         leaf = [i for i, n in enumerate(self.nodes) if "rows" in n]
         join = lambda key, which, kind: np.concatenate([np.asarray(self.nodes[i][key], kind) for i in which] or [np.empty(0, kind)])
@@ -135,11 +144,20 @@ class Tree:
                 break
             node = self.nodes[node]
             if "rows" in node:
-                rows = node["rows"][np.abs(node["far"] - d) <= limit]
-                if not len(rows):
+                near = np.abs(node["far"] - d) <= limit
+                wanted, first = int(np.count_nonzero(near)), int(node["rows"][0])
+                if not wanted:
                     continue
-                scores = self.x[rows] @ q
-                for i in np.flatnonzero(scores >= floor):
+                if 2 * wanted < len(near):  # else the page is one block
+                    rows = node["rows"][near]
+                    scores = self.x[rows] @ q
+                else:
+                    rows = range(first, first + len(near))
+                    scores = np.where(near, self.x[first : first + len(near)] @ q, floor - 1)
+                least = floor
+                if len(scores) > k + 1:  # the page's own k best, one of which may be the query's row
+                    least = max(least, np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
+                for i in np.flatnonzero(scores >= least):
                     vec_id = int(self.ids[rows[i]])
                     if vec_id == query_id:
                         continue
@@ -163,7 +181,7 @@ class Tree:
         return [(s, -v) for s, v in found]
 
 
-def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 96, tree_rows: int = 1024) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 96, tree_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of all vectors for each query, a row whose vec_id is divisible by
     `every`. A query's own row is the one with its vec_id. Repeated rows count one by one as candidates; of queries with
     the same vec_id one (the least vector) asks. Fewer candidates than k are all returned; no vectors give no rows."""
