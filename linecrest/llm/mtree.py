@@ -128,57 +128,60 @@ class Tree:
             at += n
         return me
 
-    def search(self, query_id: int, q: np.ndarray, to_root: float, k: int, floor: float) -> list[tuple[int, int]]:
-        """(score, vec_id) of the k best of this tree but the query's own, equal scores by smaller id. floor: a score
-        that at least k vectors are known to reach; what is below it is of no use."""
-        found: list[tuple[int, int]] = []  # a heap: the worst first, as (score, -vec_id)
+    def search(self, query_ids: list[int], q: np.ndarray, to_root: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For a block of queries the (score, vec_id) of the k best of this tree but the query's own, equal scores by
+        smaller id. floors: scores that at least k vectors are known to reach; what is below them is of no use. The node
+        with the least lower bound of any query is opened first, for the queries that it may still serve."""
+        found: list[list[tuple[int, int]]] = [[] for _ in query_ids]  # heaps: the worst first, as (score, -vec_id)
         q = q.astype(float) if self.exact else q
-        both = float((q.astype(float) ** 2).sum()) + self.top
-        slack = 1e-6 * (1 + both**0.5)
-        reach = lambda: max(0.0, both - 2 * floor) ** 0.5 + slack  # noqa: E731  beyond it nothing counts
-        limit = reach()
-        queue = [(0.0, 0, to_root)]
+        both = (q.astype(float) ** 2).sum(1) + self.top
+        slack = 1e-6 * (1 + np.sqrt(both))
+        floor = floors.astype(float).copy()
+        limit = np.sqrt(np.maximum(both - 2 * floor, 0)) + slack  # beyond it nothing counts
+        everyone = np.arange(len(query_ids))
+        queue, pushed = [(0.0, 0, 0, everyone, to_root, np.zeros(len(query_ids)))], 0
         while queue:
-            bound, node, d = heapq.heappop(queue)
-            if bound > limit:
-                break
-            node = self.nodes[node]
+            _, _, at, live, d, low = heapq.heappop(queue)
+            serves = low <= limit[live]
+            if not serves.any():
+                continue
+            live, d, low, node = live[serves], d[serves], low[serves], self.nodes[at]
+            near = np.abs(node["far"] - d[:, None]) - node.get("radii", 0) <= limit[live, None]  # without a distance
+            wanted = np.flatnonzero(near.any(0))
+            if not len(wanted):
+                continue
             if "rows" in node:
-                near = np.abs(node["far"] - d) <= limit
-                wanted, first = int(np.count_nonzero(near)), int(node["rows"][0])
-                if not wanted:
-                    continue
-                if 2 * wanted < len(near):  # else the page is one block
-                    rows = node["rows"][near]
-                    scores = self.x[rows] @ q
-                else:
-                    rows = range(first, first + len(near))
-                    scores = np.where(near, self.x[first : first + len(near)] @ q, floor - 1)
-                least = floor
-                if len(scores) > k + 1:  # the page's own k best, one of which may be the query's row
-                    least = max(least, np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
-                for i in np.flatnonzero(scores >= least):
-                    vec_id = int(self.ids[rows[i]])
-                    if vec_id == query_id:
+                whole = 2 * len(wanted) > near.shape[1]  # then the page is one block
+                first = int(node["rows"][0])
+                x = self.x[first : first + near.shape[1]] if whole else self.x[node["rows"][wanted]]
+                near = near if whole else near[:, wanted]
+                scores = np.where(near, q[live] @ x.T, -self.top - 2)
+                least = floor[live]
+                if scores.shape[1] > k + 1:  # the page's own k best, one of which may be the query's row
+                    least = np.maximum(least, np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1])
+                for i, j in zip(*(v.tolist() for v in np.nonzero(near & (scores >= least[:, None]))), strict=True):
+                    me = int(live[i])
+                    vec_id = int(self.ids[first + j if whole else node["rows"][wanted[j]]])
+                    if vec_id == query_ids[me]:
                         continue
-                    item = (int(scores[i]), -vec_id)
-                    if len(found) < k:
-                        heapq.heappush(found, item)
-                    elif item > found[0]:
-                        heapq.heapreplace(found, item)
-                if len(found) == k and found[0][0] > floor:
-                    floor = found[0][0]
-                    limit = reach()
-                continue
-            near = np.flatnonzero(np.abs(node["far"] - d) - node["radii"] <= limit)
-            if not len(near):
+                    item, mine = (int(scores[i, j]), -vec_id), found[me]
+                    if len(mine) < k:
+                        heapq.heappush(mine, item)
+                    elif item > mine[0]:
+                        heapq.heapreplace(mine, item)
+                    if len(mine) == k and mine[0][0] > floor[me]:
+                        floor[me] = mine[0][0]
+                limit = np.sqrt(np.maximum(both - 2 * floor, 0)) + slack
                 continue
-            away = np.sqrt(np.maximum(both - 2 * (self.x[node["heads"][near]] @ q).astype(float), 0))
-            for i, a in zip(near.tolist(), away.tolist(), strict=True):
-                low = max(bound, a - node["radii"][i])
-                if low <= limit:
-                    heapq.heappush(queue, (low, node["children"][i], a))
-        return [(s, -v) for s, v in found]
+            away = np.sqrt(np.maximum(both[live, None] - 2 * (q[live] @ self.x[node["heads"][wanted]].T).astype(float), 0))
+            bound = np.maximum(low[:, None], away - node["radii"][wanted])
+            open_to = near[:, wanted] & (bound <= limit[live, None])
+            for c, child in enumerate(wanted.tolist()):
+                own = np.flatnonzero(open_to[:, c])
+                if len(own):
+                    pushed += 1
+                    heapq.heappush(queue, (float(bound[own, c].min()), pushed, node["children"][child], live[own], away[own, c], bound[own, c]))
+        return [[(score, -v) for score, v in mine] for mine in found]
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 96, tree_rows: int = 4096) -> DataFrame:
@@ -232,11 +235,12 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
             for row in part:
                 tree = Tree.unpack(bytes(row["packed"]))
                 head = heads[row["pivot"]]
-                for a in row["asked"]:
-                    q = _matrix([a["q"]], dims)[0]
-                    d = float(np.sqrt(((q - head) ** 2).sum() + extra[row["pivot"]] ** 2))
-                    for score, vec_id in tree.search(a["query_id"], q, d, k, a["floor"]):
-                        yield a["query_id"], vec_id, score
+                q = _matrix([a["q"] for a in row["asked"]], dims)
+                d = np.sqrt(((q - head) ** 2).sum(1) + extra[row["pivot"]] ** 2)
+                ids = [a["query_id"] for a in row["asked"]]
+                for query_id, best in zip(ids, tree.search(ids, q, d, k, np.array([a["floor"] for a in row["asked"]])), strict=True):
+                    for score, vec_id in best:
+                        yield query_id, vec_id, score
 
         return spark.createDataFrame(met.rdd.mapPartitions(look), schema)
 
