@@ -92,15 +92,22 @@ def frequent_slots(sets: DataFrame) -> np.ndarray:
     stand out from its mean."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = np.zeros(1 << SLOT_BITS, np.uint32)
-        total = 0
+        slots = np.zeros(1 << SLOT_BITS, np.int64)
+        total, held, waiting = 0, [], 0
+
+        def add() -> None:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            slots[at] += n
+
         for batch in batches:
             for data in batch["tokens"]:
-                s = _unpack(data) & np.uint64((1 << SLOT_BITS) - 1)
-                slots += np.bincount(s.astype(np.int64), minlength=1 << SLOT_BITS).astype(np.uint32) if len(s) > 1 << 16 else 0
-                if len(s) <= 1 << 16:
-                    np.add.at(slots, s.astype(np.int64), np.uint32(1))
-                total += len(s)
+                held.append((_unpack(data) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64))
+                total, waiting = total + len(held[-1]), waiting + len(held[-1])
+                if waiting > 1 << 20:
+                    add()
+                    held, waiting = [], 0
+        if held:
+            add()
         high = np.flatnonzero(slots > 8 + 4 * total / (1 << SLOT_BITS))
         yield pd.DataFrame({"word": (high >> 6).astype(np.int32), "bits": (np.uint64(1) << (high & 63).astype(np.uint64)).view(np.int64)})
 
@@ -319,7 +326,10 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
 
     placed = buckets.join(roots, buckets["fp"] == roots["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("comp"))
     placed = common.stage(placed, "placed")
-    open_tokens = common.stage(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "open")
+    # of buckets with the same members one is enough; members are told apart by two xors of hashes and their number
+    members = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")]
+    facts = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members).where("lo <> hi")
+    open_tokens = common.stage(facts.groupBy("lo", "hi", "members", "x", "y").agg(F.min("token").alias("token")).select("token"), "open")
     rest = common.stage(placed.join(common.small(open_tokens), "token"), "rest")
     signed = sets.select("fp", "sig").join(common.small(common.stage(rest.select("fp").distinct(), "rest-sets")), "fp").dropDuplicates(["fp"])
     more = common.stage(_verify(_walks(rest.join(signed, "fp"), percent), sets, percent), "more")
