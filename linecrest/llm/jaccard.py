@@ -5,7 +5,7 @@ class. Classes that may link share a shingle of their prefixes: with all shingle
 n - ceil(t * n) + 1 of either (prefix filter). The order puts shingles that many documents have at the end, so that
 prefixes meet where texts are alike and not where they share a common line.
 
-Every shared shingle makes a bucket. First each class is compared with one other class of two of its buckets, and the
+Every shared shingle makes a bucket. First each class is compared with one other class of three of its buckets, and the
 links make components. Buckets within one component are done with: their documents reach one another. In the others
 signature trees find the pairs left: nodes hold the OR of their members' bitmaps, their range of sizes and how many
 shingles fall together in a bitmap; two trees are walked at once, level by level, and a pair of nodes is dropped when
@@ -59,8 +59,8 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """A bitmap of at least twice as many bits as shingles, a power of two: a bit for each."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    """A bitmap of at least four times as many bits as shingles, a power of two: a bit for each."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view("<u8")
@@ -280,12 +280,21 @@ def _walks(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, rest = ["token", "band", "i", "j"], None
 
+        told: set[tuple[int, int]] = set()  # pairs that earlier buckets of this task have given; forgotten when many
+
+        def fresh(pairs: pd.DataFrame) -> pd.DataFrame:
+            if len(told) > 1_000_000:
+                told.clear()
+            new = np.array([p not in told for p in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)], bool)
+            told.update(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True))
+            return pairs[new]
+
         def out(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
             new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
             edges = [*np.flatnonzero(new), len(pdf)]
             found = [walk(pdf.iloc[s:e]) for s, e in zip(edges, edges[1:], strict=False) if e - s > 1]
             if found:
-                yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates()
+                yield fresh(pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates())
 
         for batch in batches:
             if rest is not None:
@@ -318,8 +327,10 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     shared = common.stage(tokens.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token"), "shared")
     buckets = common.stage(tokens.join(common.small(shared), "token").dropDuplicates(["token", "fp"]), "buckets")
 
-    ends = buckets.groupBy("fp", "n").agg(F.min("token").alias("t0"), F.max("token").alias("t1")).select("fp", "n", F.explode(F.array("t0", "t1")).alias("token"))
-    hubs = ends.groupBy("token").agg(F.min(F.struct("fp", "n")).alias("h")).select("token", F.col("h.fp").alias("hub"), F.col("h.n").alias("m"))
+    # of a family of near copies the original shares the largest part of its shingles: it is the one to compare with
+    share = (F.count("*") / F.col("n")).alias("share")
+    ends = buckets.groupBy("fp", "n").agg(share, F.min("token").alias("t0"), F.max("token").alias("t1"), F.min_by("token", F.xxhash64("token")).alias("t2")).select("fp", "n", "share", F.explode(F.array_distinct(F.array("t0", "t1", "t2"))).alias("token"))
+    hubs = ends.groupBy("token").agg(F.max(F.struct("share", "fp", "n")).alias("h")).select("token", F.col("h.fp").alias("hub"), F.col("h.n").alias("m"))
     tried = ends.join(hubs, "token").where(f"fp <> hub AND 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     links = common.stage(_verify(tried, sets, percent), "links")
     roots = common.stage(common.components(links), "roots")
