@@ -327,9 +327,10 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     shared = common.stage(tokens.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token"), "shared")
     buckets = common.stage(tokens.join(common.small(shared), "token").dropDuplicates(["token", "fp"]), "buckets")
 
-    # of a family of near copies the original shares the largest part of its shingles: it is the one to compare with
+    # Of a family of near copies the original shares the largest part of its shingles: it is the one to compare with.
+    # Classes of which little is shared are left to the trees.
     share = (F.count("*") / F.col("n")).alias("share")
-    ends = buckets.groupBy("fp", "n").agg(share, F.min("token").alias("t0"), F.max("token").alias("t1"), F.min_by("token", F.xxhash64("token")).alias("t2")).select("fp", "n", "share", F.explode(F.array_distinct(F.array("t0", "t1", "t2"))).alias("token"))
+    ends = buckets.groupBy("fp", "n").agg(share, F.min("token").alias("t0"), F.max("token").alias("t1"), F.min_by("token", F.xxhash64("token")).alias("t2")).where(f"share * n * 2 >= n * {(100 - percent) / 100}").select("fp", "n", "share", F.explode(F.array_distinct(F.array("t0", "t1", "t2"))).alias("token"))
     hubs = ends.groupBy("token").agg(F.max(F.struct("share", "fp", "n")).alias("h")).select("token", F.col("h.fp").alias("hub"), F.col("h.n").alias("m"))
     tried = ends.join(hubs, "token").where(f"fp <> hub AND 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     links = common.stage(_verify(tried, sets, percent), "links")

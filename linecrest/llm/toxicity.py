@@ -157,8 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, least_docum
     weight = np.where(y == 1, n / 2 / max(y.sum(), 1), n / 2 / max(n - y.sum(), 1))  # both classes weigh the same
     w, bias = np.zeros(2 * len(vocabulary)), 0.0
     speed, bias_speed = np.zeros_like(w), 0.0
-    step = 4.0 / max(1.0, np.bincount(r, minlength=n).max(initial=1) ** 0.5)
-    for _ in range(600):  # gradient descent with momentum
+    # the step is one over a bound of the curvature
+    size = np.bincount(r, v * v, n) + 1
+    moved = sum((x.get(i, 0.0) - y_.get(i, 0.0)) ** 2 for k, y_ in swaps for x in (rows[k]["ids"],) for i in {*x, *y_})
+    step = 1 / (0.25 * float((weight * size).mean()) + ridge + 2 * swap_penalty * moved / n)
+    for _ in range(800):  # gradient descent with momentum
         z = np.bincount(r, v * w[c], n) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         down = np.bincount(c, v * error[r], len(w)) + ridge * w
