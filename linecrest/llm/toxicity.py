@@ -1,6 +1,6 @@
 """Toxicity: a logistic classifier of words, regularised by counterfactuals.
 
-Labelled sentences that name a group are copied with another group of the same kind in its place. The classifier pays
+Labelled sentences that name a group are copied with each other group of the same kind in its place. The classifier pays
 for every change of its score between a text and its copies, so mentions of a group carry no weight of their own.
 """
 
@@ -68,16 +68,16 @@ def features(found: Counter, index: dict[str, int]) -> dict[int, float]:
 
 
 def counterfactuals(text: str | None) -> list[Counter]:
-    """The words of the text after each swap: every identity term of a sentence is replaced by the next of its kind."""
+    """The words of the text after each swap: an identity term of a sentence is replaced by each other one of its kind."""
     said = [words(s) for s in _SENTENCE.split(text or "")]
     out = []
     for i, sentence in enumerate(said):
         for term in sorted(sentence.keys() & _KIND.keys()):
-            kind = IDENTITY_TERMS[_KIND[term]]
-            other = kind[(kind.index(term) + 1) % len(kind)]
-            swapped = Counter({other if w == term else w: n for w, n in sentence.items() if w != other})
-            swapped[other] += sentence[other]
-            out.append(sum(said[:i] + said[i + 1 :], swapped))
+            for other in IDENTITY_TERMS[_KIND[term]]:
+                if other != term:
+                    swapped = Counter({w: n for w, n in sentence.items() if w != term})
+                    swapped[other] += sentence[term]
+                    out.append(sum(said[:i] + said[i + 1 :], swapped))
     return out
 
 
@@ -121,7 +121,7 @@ def _evidence(sample: DataFrame, least_documents: int, least_z: float, most_word
     return sorted(t for t, ok in kept.items() if ok)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, least_documents: int = 5, least_z: float = 4.0, most_words: int = 2000, swap_penalty: float = 4.0, ridge: float = 1e-3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, least_documents: int = 5, least_z: float = 4.0, most_words: int = 2000, swap_penalty: float = 1.0, ridge: float = 1e-3) -> Model:
     """Learn from at most per_class labelled documents of each class outside the held-out fold. Without examples of
     both classes every score is the share of label 1, or 0."""
     sample = samples.labelled(docs, labels, "toxic", per_class)
