@@ -13,11 +13,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints. Where none is set, as in tests, a temporary one."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    """The folder that the cluster names for checkpoints. Where none is set, as in tests, a temporary one that the
+    context keeps (the setting itself is fixed once a session has started)."""
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="linecrest-")
-        spark.conf.set(SETTING, folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
