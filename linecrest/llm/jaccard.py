@@ -2,7 +2,7 @@
 
 Documents are sets of word shingles, and two link when their Jaccard index reaches the threshold. Equal sets are one
 class. Classes that may link share a shingle of their prefixes: with all shingles in one fixed order, the first
-n - ceil(t * n) + 1 of either (prefix filter). The order puts shingles that many documents have at the end, so that
+n - ceil(t * n) + 1 of either (prefix filter), and of the smaller one even the first n - ceil(2 t / (1 + t) * n) + 1. The order puts shingles that many documents have at the end, so that
 prefixes meet where texts are alike and not where they share a common line.
 
 Every shared shingle makes a bucket. First each class is compared with one other class of three of its buckets, and the
@@ -67,7 +67,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n, fp and check (two hashes of the set), sig and tokens, for every row."""
+    """doc_id, n, fp and check (two hashes of the set) and tokens, for every row."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,10 +77,20 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
                 with np.errstate(over="ignore"):
                     fp = common.mix(np.array([np.bitwise_xor.reduce(common.mix(s)) if len(s) else 0, len(s)], np.uint64))
                     check = common.mix(s + np.uint64(0x51ED27)).sum(dtype=np.uint64)
-                rows.append((doc_id, len(s), int(fp.sum(dtype=np.uint64).view(np.int64)), int(check.view(np.int64)), signature(s).tobytes(), _pack(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "check", "sig", "tokens"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, len(s), int(fp.sum(dtype=np.uint64).view(np.int64)), int(check.view(np.int64)), _pack(s)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "check", "tokens"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(build, "doc_id long, n int, fp long, check long, sig binary, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(build, "doc_id long, n int, fp long, check long, tokens binary")
+
+
+def signatures(sets: DataFrame) -> DataFrame:
+    """fp and sig of sets (fp, tokens)."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"fp": batch["fp"], "sig": [signature(_unpack(t)).tobytes() for t in batch["tokens"]]})
+
+    return sets.mapInPandas(sign, "fp long, sig binary")
 
 
 # --- prefixes ---------------------------------------------------------------------------------------------------------
@@ -129,18 +139,64 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def short_length(n: int, percent: int = PERCENT) -> int:
+    """The part of the prefix that is enough of the smaller of two sets: they have to share 2 t / (1 + t) of its n."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1 if n else 0
+
+
+#: Sets that a task remembers, so that it gives the shingles of equal sets once.
+REMEMBERED = 1_000_000
+
+
 def prefixes(sets: DataFrame, frequent, percent: int = PERCENT) -> DataFrame:
-    """token, fp and n: a row for each shingle of each set's prefix."""
+    """token, fp, n and short: a row for each shingle of each set's prefix; short: it is of the prefix's short part."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = frequent.value
+        slots, told = frequent.value, set()
         for batch in batches:
             batch = batch.drop_duplicates("fp")
-            parts = [in_order(_unpack(t), slots)[: prefix_length(n, percent)] for t, n in zip(batch["tokens"], batch["n"], strict=True)]
-            sizes = [len(p) for p in parts]
-            yield pd.DataFrame({"token": np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64), "fp": np.repeat(batch["fp"].to_numpy(np.int64), sizes), "n": np.repeat(batch["n"].to_numpy(np.int32), sizes)})
+            batch = batch[[fp not in told for fp in batch["fp"].tolist()]]
+            if len(told) > REMEMBERED:
+                told.clear()
+            told.update(batch["fp"].tolist())
+            parts = [in_order(_unpack(t), slots)[: prefix_length(n, percent)] for t, n in zip(batch["tokens"], batch["n"].tolist(), strict=True)]
+            sizes = np.array([len(p) for p in parts], np.int64)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            short = place < np.repeat(np.array([short_length(n, percent) for n in batch["n"].tolist()], np.int64), sizes)
+            yield pd.DataFrame({"token": np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64), "fp": np.repeat(batch["fp"].to_numpy(np.int64), sizes), "n": np.repeat(batch["n"].to_numpy(np.int32), sizes), "short": short})
+
+    return sets.select("fp", "n", "tokens").where("n > 0").mapInPandas(cut, "token long, fp long, n int, short boolean")
+
+
+def with_partners(tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows (token, fp, n) of prefixes that another set's row may link with: of two sets that link, the smaller has
+    the token in its short part and the sizes are near. In order of size the nearest row that counts tells it, so rows
+    pass in a stream and a bucket of any size takes no memory."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, held_short = None, -1  # the last row, which waits for the next, and the size of the last short row before it
+
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            token, fp, n, short = (batch[c].to_numpy() for c in ("token", "fp", "n", "short"))
+            fresh = np.ones(len(batch), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
+            token, fp, n, short = token[fresh], fp[fresh], n[fresh].astype(np.int64), short[fresh]
+            if not len(token):
+                continue
+            begins = np.concatenate([[True], token[1:] != token[:-1]])
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
+            last_short = np.concatenate([[-1], np.maximum.accumulate(np.where(short, np.arange(len(token)), -1))[:-1]])
+            before = np.where(last_short >= first, n[np.maximum(last_short, 0)], np.where(first == 0, held_short, -1))
+            good = 100 * before >= percent * n
+            good[:-1] |= short[:-1] & ~begins[1:] & (100 * n[:-1] >= percent * n[1:])
+            yield pd.DataFrame({"token": token[:-1], "fp": fp[:-1], "n": n[:-1].astype(np.int32)})[good[:-1]]
+            held, held_short = pd.DataFrame({"token": token[-1:], "fp": fp[-1:], "n": n[-1:].astype(np.int32), "short": short[-1:]}), int(before[-1])
+        if held is not None and 100 * held_short >= percent * int(held["n"].iloc[0]):
+            yield held[["token", "fp", "n"]]
 
-    return sets.select("fp", "n", "tokens").where("n > 0").mapInPandas(cut, "token long, fp long, n int")
+    return tokens.repartition("token").sortWithinPartitions("token", "n", "fp").mapInPandas(keep, "token long, fp long, n int")
 
 
 # --- signature trees --------------------------------------------------------------------------------------------------
@@ -255,16 +311,19 @@ def _bands(n: F.Column, percent: int) -> F.Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
 
 
-def _walks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may link, of buckets with several components. rows: token, fp, n, comp, sig."""
-    at_home = rows.withColumn("home", F.lit(True)).withColumn("band", _bands(F.col("n"), percent))
-    spread = at_home.unionByName(at_home.withColumn("home", F.lit(False)).withColumn("band", F.col("band") - 1))
+def _walks(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link, of buckets with several components. rows: token, fp, n, comp; signed: fp, sig."""
+    # small buckets are walked whole; large ones by bands of sizes, where a set also visits the band below its own
+    sizes = rows.groupBy("token").agg(F.count("*").alias("all"))
+    banded = rows.join(sizes, "token").withColumn("home", F.lit(True)).withColumn("band", F.when(F.col("all") > CHUNK, _bands(F.col("n"), percent)).otherwise(F.lit(0)))
+    spread = banded.unionByName(banded.where(F.col("all") > CHUNK).withColumn("home", F.lit(False)).withColumn("band", F.col("band") - 1)).drop("all")
     facts = spread.groupBy("token", "band").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("some")).where("lo <> hi AND some")
     chunks = spread.join(facts.select("token", "band", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), ["token", "band"])
     chunks = chunks.withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
     # chunk i meets every chunk j: the row of chunk c stands on the left of (c, j) for j >= c and on the right of (i, c) for i <= c
     met = chunks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("token", "band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "fp", "n", "comp", "home", "sig")
+    met = met.select("token", "band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "fp", "n", "comp", "home")
+    met = met.join(signed, "fp")
 
     def walk(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         n, comp, fp, home, own = (pdf[c].to_numpy() for c in ("n", "comp", "fp", "home", "own"))
@@ -324,13 +383,12 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
         raise ArithmeticError("two sets have the same 64-bit hash")
     frequent = spark.sparkContext.broadcast(frequent_slots(sets))  # 2**SLOT_BITS bits
     tokens = prefixes(sets, frequent, percent)
-    shared = common.stage(tokens.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("token"), "shared")
-    buckets = common.stage(tokens.join(common.small(shared), "token").dropDuplicates(["token", "fp"]), "buckets")
+    buckets = common.stage(with_partners(tokens, percent), "buckets")
 
     # Of a family of near copies the original shares the largest part of its shingles: it is the one to compare with.
     # Classes of which little is shared are left to the trees.
     share = (F.count("*") / F.col("n")).alias("share")
-    ends = buckets.groupBy("fp", "n").agg(share, F.min("token").alias("t0"), F.max("token").alias("t1"), F.min_by("token", F.xxhash64("token")).alias("t2")).where(f"share * n * 2 >= n * {(100 - percent) / 100}").select("fp", "n", "share", F.explode(F.array_distinct(F.array("t0", "t1", "t2"))).alias("token"))
+    ends = buckets.groupBy("fp", "n").agg(share, F.min("token").alias("t0"), F.max("token").alias("t1"), F.min_by("token", F.xxhash64("token")).alias("t2")).where(f"share * n * 4 >= n * {(100 - percent) / 100}").select("fp", "n", "share", F.explode(F.array_distinct(F.array("t0", "t1", "t2"))).alias("token"))
     hubs = ends.groupBy("token").agg(F.max(F.struct("share", "fp", "n")).alias("h")).select("token", F.col("h.fp").alias("hub"), F.col("h.n").alias("m"))
     tried = ends.join(hubs, "token").where(f"fp <> hub AND 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     links = common.stage(_verify(tried, sets, percent), "links")
@@ -343,8 +401,8 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     facts = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members).where("lo <> hi")
     open_tokens = common.stage(facts.groupBy("lo", "hi", "members", "x", "y").agg(F.min("token").alias("token")).select("token"), "open")
     rest = common.stage(placed.join(common.small(open_tokens), "token"), "rest")
-    signed = sets.select("fp", "sig").join(common.small(common.stage(rest.select("fp").distinct(), "rest-sets")), "fp").dropDuplicates(["fp"])
-    more = common.stage(_verify(_walks(rest.join(signed, "fp"), percent), sets, percent), "more")
+    signed = signatures(sets.select("fp", "tokens").join(common.small(common.stage(rest.select("fp").distinct(), "rest-sets")), "fp")).dropDuplicates(["fp"])
+    more = common.stage(_verify(_walks(rest, signed, percent), sets, percent), "more")
 
     if more.isEmpty():
         final = roots
