@@ -70,7 +70,7 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n, fp and check (two hashes of the set) and tokens, for every row."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingle_set(text, k)
@@ -87,8 +87,8 @@ def signatures(sets: DataFrame) -> DataFrame:
     """fp and sig of sets (fp, tokens)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"fp": batch["fp"], "sig": [signature(_unpack(t)).tobytes() for t in batch["tokens"]]})
+        for batch in common.slices(batches):
+            yield pd.DataFrame({"fp": batch["fp"].to_numpy(), "sig": [signature(_unpack(t)).tobytes() for t in batch["tokens"]]})
 
     return sets.mapInPandas(sign, "fp long, sig binary")
 
@@ -153,7 +153,7 @@ def prefixes(sets: DataFrame, frequent, percent: int = PERCENT) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots, told = frequent.value, set()
-        for batch in batches:
+        for batch in common.slices(batches):
             batch = batch.drop_duplicates("fp")
             batch = batch[[fp not in told for fp in batch["fp"].tolist()]]
             if len(told) > REMEMBERED:
