@@ -244,17 +244,30 @@ def _may_link(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int, si
 
 
 def candidate_pairs(n: np.ndarray, sig: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (indices) of a member of left with a member of right that may link across groups, by a walk down two trees
-    at once. Each unordered pair comes once if left and right are the same."""
-    words = min(len(s) for s in sig)
-    flat = np.stack([_fold(s, words) for s in sig])
-    _, group = np.unique(group, return_inverse=True)
+    """Pairs (indices) of a member of left with a member of right that may link across groups. Each unordered pair comes
+    once if left and right are the same. Sets that may link have bitmaps of the same length or of two that follow, so
+    members are walked by lengths and no bitmap is folded more than once."""
+    words = np.array([len(s) for s in sig])
+    same, found = np.array_equal(left, right), []
+    for w in np.unique(words).tolist():
+        own, other = left[words[left] == w], right[words[right] == w]
+        found.append(_walk_trees(n, sig, group, own, other, w, percent, same))
+        found.append(_walk_trees(n, sig, group, own, right[words[right] == 2 * w], w, percent, False))
+        if not same:
+            found.append(_walk_trees(n, sig, group, left[words[left] == 2 * w], other, w, percent, False))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _walk_trees(n: np.ndarray, sig: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray, words: int, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of candidate_pairs by a walk down two trees at once, over bitmaps folded to the given words. same: left
+    and right are the same."""
+    if not len(left) or not len(right):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     sides = []
     for members in (left, right):
         order = members[np.lexsort((n[members], group[members]))]
-        sides.append((order, SignatureTree(n[order].astype(np.int64), flat[order], group[order].astype(np.int64))))
+        sides.append((order, SignatureTree(n[order].astype(np.int64), np.stack([_fold(sig[i], words) for i in order.tolist()]), group[order].astype(np.int64))))
     (own, a), (other, b) = sides
-    same = np.array_equal(own, other)
     depth = max(len(a.levels), len(b.levels))
     i = j = np.zeros(1, np.int64)
     for level in range(depth - 1, -1, -1):
@@ -332,7 +345,7 @@ def _walks(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         left, right = everyone[own == pdf["i"].iloc[0]], everyone[own == pdf["j"].iloc[0]]
         if not len(left) or not len(right):
             return fp[:0], fp[:0]
-        a, b = candidate_pairs(n, sig, comp, left, right, percent)
+        a, b = candidate_pairs(n, sig, np.unique(comp, return_inverse=True)[1], left, right, percent)
         met = home[a] | home[b]  # a pair of visitors meets where they are at home
         return np.minimum(fp[a], fp[b])[met], np.maximum(fp[a], fp[b])[met]
 
