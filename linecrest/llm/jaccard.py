@@ -5,8 +5,8 @@ class. Classes that may link share a shingle of their prefixes: with all shingle
 n - ceil(t * n) + 1 of either (prefix filter), and of the smaller one even the first n - ceil(2 t / (1 + t) * n) + 1. The order puts shingles that many documents have at the end, so that
 prefixes meet where texts are alike and not where they share a common line.
 
-Every shared shingle makes a bucket. First each class is compared with one other class of three of its buckets, and the
-links make components. Buckets within one component are done with: their documents reach one another. In the others
+Every shared shingle makes a bucket. First each class is compared with one other class of three of its buckets, then in
+a few rounds with members of the largest components it meets, and the links make components. Buckets within one component are done with: their documents reach one another. In the others
 signature trees find the pairs left: nodes hold the OR of their members' bitmaps, their range of sizes and how many
 shingles fall together in a bitmap; two trees are walked at once, level by level, and a pair of nodes is dropped when
 the greatest overlap that its bitmaps and sizes allow is too small, or when both are of one component. What remains is
@@ -59,8 +59,8 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """A bitmap of at least four times as many bits as shingles, a power of two: a bit for each."""
-    bits = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
+    """A bitmap of at least twice as many bits as shingles, a power of two: a bit for each."""
+    bits = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view("<u8")
@@ -319,6 +319,27 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
+#: Most rounds that compare classes with members of their buckets' largest components.
+HUB_ROUNDS = 2
+
+
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (token, fp, n) with comp, the component of fp."""
+    return rows.join(roots, rows["fp"] == roots["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("comp"))
+
+
+def _hub_pairs(rows: DataFrame, number: int, percent: int) -> DataFrame:
+    """At most two pairs (a, b) for each class of which a quarter of a prefix is shared: with members of the components
+    that are most frequent in two of its buckets. Each bucket has its own member, and each round another. rows: token,
+    fp, n, comp."""
+    turn = F.xxhash64("fp", "token", F.lit(number))
+    inside = rows.groupBy("token", "comp").agg(F.count("*").alias("of"), F.max(F.struct(turn.alias("turn"), "fp", "n")).alias("h"))
+    hubs = inside.groupBy("token").agg(F.max(F.struct("of", "comp", F.col("h.fp").alias("hub"), F.col("h.n").alias("m"))).alias("h")).select("token", "h.*").withColumnRenamed("comp", "hub_comp")
+    near = rows.join(hubs, "token").where(f"comp <> hub_comp AND 100 * least(n, m) >= {percent} * greatest(n, m)")
+    own = near.groupBy("fp", "n").agg(F.count("*").alias("shared"), F.min_by("hub", turn).alias("h0"), F.max_by("hub", turn).alias("h1")).where(f"shared * 400 >= n * {100 - percent}")
+    return own.select(F.explode(F.array_distinct(F.array("h0", "h1"))).alias("a"), F.col("fp").alias("b"))
+
+
 def _bands(n: F.Column, percent: int) -> F.Column:
     """Sets that may link are of the same band of sizes or of two that follow."""
     return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
@@ -407,13 +428,22 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     links = common.stage(_verify(tried, sets, percent), "links")
     roots = common.stage(common.components(links), "roots")
 
-    placed = buckets.join(roots, buckets["fp"] == roots["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("comp"))
-    placed = common.stage(placed, "placed")
     # of buckets with the same members one is enough; members are told apart by two xors of hashes and their number
+    placed = common.stage(_placed(buckets, roots), "placed")
     members = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")]
     facts = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members).where("lo <> hi")
     open_tokens = common.stage(facts.groupBy("lo", "hi", "members", "x", "y").agg(F.min("token").alias("token")).select("token"), "open")
     rest = common.stage(placed.join(common.small(open_tokens), "token"), "rest")
+
+    for number in range(HUB_ROUNDS):
+        tried = common.stage(_hub_pairs(rest, number, percent), "tried")
+        new = common.stage(_verify(tried, sets, percent), "links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        roots = common.stage(common.components(links), "roots")
+        rest = _placed(rest.drop("comp"), roots)
+        rest = common.stage(rest.join(rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "token"), "rest")
     signed = signatures(sets.select("fp", "tokens").join(common.small(common.stage(rest.select("fp").distinct(), "rest-sets")), "fp")).dropDuplicates(["fp"])
     more = common.stage(_verify(_walks(rest, signed, percent), sets, percent), "more")
 
