@@ -74,6 +74,13 @@ def test_repeated_passages(spark, texts):
     assert 2 not in left and left[8] == texts[8].split("\n")[1] and left[9] == texts[9] and left[3] is None
 
 
+def test_chain_links_within_the_gap():
+    block, passage = [0, 0, 200], [[300 + 16 * i, 900 + 16 * i + i, 12] for i in range(6)]
+    found = substring.chains_of(np.array([block, *passage]))
+    assert [c.tolist() for c in found] == [[block], passage]
+    assert substring.chains_of(np.array(passage))[0].tolist() == passage
+
+
 def test_flac_round_trip():
     rng = random.Random(5)
     payloads = [b"\0" * 64, bytes(rng.randrange(256) for _ in range(9984)), b"hello world, " * 1000 + b"\0" * 24, bytes(range(256)) * 40]
