@@ -74,6 +74,33 @@ def test_repeated_passages(spark, texts):
     assert 2 not in left and left[8] == texts[8].split("\n")[1] and left[9] == texts[9] and left[3] is None
 
 
+def test_passages_whose_seeds_others_have_first(spark):
+    """Exact and edited passages of two documents, where earlier ones have phrases of them."""
+    rng = random.Random(11)
+    exact, fuzzy = [prose(100 + i, 51).split() for i in range(8)], [prose(200 + i, 120).split() for i in range(8)]
+    owners, first, second = [], [], []
+    for i in range(8):
+        owners.append(prose(300 + i, 40) + " " + " ".join(exact[i][i % 3 : 45 + i % 3]) + " " + prose(310 + i, 40))
+        owners += [prose(400 + 20 * i + k, 60) + " " + " ".join(fuzzy[i][at : at + 14]) + " " + prose(600 + 20 * i + k, 60) for k, at in enumerate(range(0, 120, 8))]
+        edited = [f"new{i}x{k}" if k % 12 == 11 else w for k, w in enumerate(fuzzy[i])]
+        for out, f, n in ((first, fuzzy[i], 1), (second, edited, 2)):
+            out.append(" ".join([prose(1000 * n + 700 + i, rng.randrange(50, 90)), *exact[i], prose(1000 * n + 800 + i, 200), *f, prose(1000 * n + 900 + i, 60)]))
+    d = docs(spark, owners + first + second)
+    got = [r for r in substring.passages(d).collect() if r["doc_id"] >= len(owners) + 8]
+    for i, text in enumerate(second):
+        words, doc = text.split(), len(owners) + 8 + i
+        own = {k for r in got if r["doc_id"] == doc for k in range(r["start"], r["end"])}
+        e, f = words.index(exact[i][0]), words.index(fuzzy[i][0])
+        assert set(range(e, e + 51)) <= own and len(own & set(range(f, f + 120))) >= 100
+
+
+def test_rejected_chain_is_parted():
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 1 << 32, 135, dtype=np.uint64).astype("<u4") for _ in range(2))
+    b[:51], b[115:] = a[:51], a[115:]
+    assert [(x[0], x[1]) for x in substring.accepted(a, b, np.array([[0, 0, 51], [115, 115, 20]]), 51, 0.8)] == [(0, 51)]
+
+
 def test_chain_links_within_the_gap():
     block, passage = [0, 0, 200], [[300 + 16 * i, 900 + 16 * i + i, 12] for i in range(6)]
     found = substring.chains_of(np.array([block, *passage]))
