@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
-#: About how many rows share a shard, and how many blocks a shard gets on average.
+#: About how many rows share a shard, and how many blocks a shard and the smallest target get at least, of a word or more.
 SHARD_ROWS = 4096
 BLOCKS = 128
 
@@ -48,8 +48,10 @@ def quotas(cells: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     The divisor lies so near total / house that a cell's quota is known but for the last few blocks; only the quotients
     of these are ranked."""
     everything = Window.partitionBy()
-    df = cells.withColumn("_cells", F.count("*").over(everything))
-    df = df.withColumn("block_size", F.greatest(F.lit(1), F.floor(F.col("total") / (F.col("_cells") * blocks))))
+    df = cells.withColumn("_cells", F.count("*").over(everything)).withColumn("_source_cells", F.count("*").over(Window.partitionBy("source")))
+    # the smallest target of any source sets the size too, else a source of less than half a block would get none
+    least = F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target") / F.col("_source_cells"))).over(everything), F.lit(1.0))
+    df = df.withColumn("block_size", F.greatest(F.lit(1), F.floor(F.least(F.col("total") / F.col("_cells"), least) / blocks)))
     df = df.withColumn("_house", F.floor(F.col("total") / F.col("block_size")))
     df = df.withColumn("_vote", F.col("target") * F.col("cell_size") / F.greatest(F.col("source_size"), F.lit(1)))
     per_vote = lambda sign: (F.col("_house") + sign * (F.col("_cells") / 2 + 1)) / F.greatest(F.col("total"), F.lit(1))
@@ -61,7 +63,7 @@ def quotas(cells: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     won = seats.where("_rank <= _open").groupBy("source", "shard").agg(F.count("*").alias("_won"))
     df, won = df.alias("c"), won.alias("w")
     joined = df.join(won, F.col("c.source").eqNullSafe(F.col("w.source")) & (F.col("c.shard") == F.col("w.shard")), "left")
-    return joined.select("c.*", (F.col("c._sure") + F.coalesce("w._won", F.lit(0))).alias("quota")).drop("_cells", "_house", "_vote", "_sure", "_most", "_open")
+    return joined.select("c.*", (F.col("c._sure") + F.coalesce("w._won", F.lit(0))).alias("quota")).drop("_cells", "_source_cells", "_house", "_vote", "_sure", "_most", "_open")
 
 
 def sainte_lague_mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -153,6 +153,15 @@ def test_mix_meets_targets(spark):
     assert mixing.sainte_lague_mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mix_meets_the_target_of_a_tiny_source(spark):
+    from pyspark.sql import types as T
+
+    rows = spark.range(12000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100).alias("text"), F.lit("big").alias("source"))
+    rows = rows.unionByName(spark.createDataFrame([(20000 + i, "a b c d e f g", s) for i, s in enumerate(["tiny", "tiny", "small"])], T.StructType.fromDDL("doc_id long, text string, source string")))
+    got = mixing.sainte_lague_mix(rows, keep=("source",)).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(got) == 3 and all(abs(r["taken"] - r["target"]) <= max(2, 0.01 * r["target"]) for r in got), got
+
+
 def test_packing(spark, texts):
     from public_tokenizers import path
     from tokenizers import Tokenizer
