@@ -23,3 +23,15 @@ def fed(monkeypatch, found, spark):
 def test_every_slice_has_its_window(spark, found, monkeypatch):
     _, windows = fed(monkeypatch, found, spark)
     assert sorted(r["slice_seq"] for r in windows.collect()) == list(range(1, 13))
+
+
+def test_every_observation_is_a_pole(spark, found, monkeypatch):
+    objects, _ = fed(monkeypatch, found, spark)
+    assert objects.where("kind = 'pole'").count() == 36
+    got = []
+    for name in ("nearest_pole", "adjusted_heights"):
+        keep = getattr(stage3.R, name)
+        monkeypatch.setattr(stage3.R, name, lambda *a, keep=keep, at=name == "nearest_pole": got.append(a[1 if at else 0]) or keep(*a))
+    found["nearest_pole"](spark, "")
+    found["pole_height_adjust"](spark, "")
+    assert [g.count() for g in got] == [36, 36, 36]
