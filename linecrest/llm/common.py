@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints. Where none is set, as in tests, a temporary one that the
-    context keeps (the setting itself is fixed once a session has started)."""
+    """The folder that the cluster names for checkpoints. Where none is set, a session in one process, as in tests, gets
+    a temporary one that its context keeps (the setting itself is fixed once a session has started); on a cluster a
+    folder of one machine would lose rows, so there the setting is asked for."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="linecrest-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,18 +34,43 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/linecrest-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_staged_at", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 #: Rows of texts that Python code turns into results at once.
 SLICE_ROWS = 500
 
 
-def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches in slices of SLICE_ROWS rows, so that what is made of long texts does not stand in memory for a whole batch."""
     for batch in batches:
-        for at in range(0, len(batch), SLICE_ROWS):
-            yield batch.iloc[at : at + SLICE_ROWS]
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def with_columns(batch: pa.RecordBatch, kept: Iterable[str], **columns) -> pa.RecordBatch:
+    """The kept columns of a batch as they are, so that no value passes through another type, and new ones."""
+    arrays = [batch.column(c) for c in kept] + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, [*kept, *columns])
+
+
+def repeat_rows(batch: pa.RecordBatch, kept: Iterable[str], times: np.ndarray, **columns) -> pa.RecordBatch:
+    """The kept columns with each row so many times, and new columns."""
+    at = pa.array(np.repeat(np.arange(batch.num_rows), times))
+    arrays = [batch.column(c).take(at) for c in kept] + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, [*kept, *columns])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -127,21 +156,24 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root, the smallest node that links reach, for every node of a link but the roots. links: a and b.
-    Large stars and small stars in turn (Kiveris et al. 2014), each round a table of the shared folder; a star's centre
-    is never gathered in one task, since the least neighbour is a partial aggregate and joins split what is uneven."""
+    """node and root, the smallest node that links reach, for every node of a link but the roots; a staged table. links:
+    a and b. Large stars and small stars in turn (Kiveris et al. 2014), each round a table of the shared folder; a star's
+    centre is never gathered in one task, since the least neighbour is a partial aggregate and joins split what is uneven."""
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
-        edges = stage(edges, "large")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")  # large star
+        discard(edges)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")  # small star
+        discard(large)
         now = _mark(edges)
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found._staged_at = edges._staged_at
+    return found

@@ -1,25 +1,31 @@
 """N-gram Jaccard join by signature trees.
 
 Documents are sets of word shingles, and two link when their Jaccard index reaches the threshold. Equal sets are one
-class. Classes that may link share a shingle of their prefixes: with all shingles in one fixed order, the first
-n - ceil(t * n) + 1 of either (prefix filter), and of the smaller one even the first n - ceil(2 t / (1 + t) * n) + 1. The order puts shingles that many documents have at the end, so that
-prefixes meet where texts are alike and not where they share a common line.
-
-Every shared shingle makes a bucket. First each class is compared with one other class of three of its buckets, then in
-a few rounds with members of the largest components it meets, and the links make components. Buckets within one component are done with: their documents reach one another. In the others
-signature trees find the pairs left: nodes hold the OR of their members' bitmaps, their range of sizes and how many
-shingles fall together in a bitmap; two trees are walked at once, level by level, and a pair of nodes is dropped when
-the greatest overlap that its bitmaps and sizes allow is too small, or when both are of one component. What remains is
-compared shingle by shingle, so the result is exact but for equal 48-bit hashes.
+class. The work is dealt out by families, so that every set is sent to one place only:
+
+1. With all shingles in one fixed order, two sets that link share at least l shingles of their prefixes, the first
+   n - ceil(t n) + l of either (of the smaller one even the first n - ceil(2 t / (1 + t) n) + l). The order puts shingles
+   that many documents have at the end, so prefixes meet where texts are alike and not where they share a common line.
+   Classes that share fewer prefix shingles with all others together can link with none.
+2. What remains falls into families: classes that shared prefix shingles connect. No link leaves a family.
+3. A family's classes are the leaves of a signature tree. Its nodes hold the OR of their members' token bitmaps and the
+   range of their sizes. Two nodes are walked at once, the pair with the greatest possible overlap first; a pair is
+   dropped when its bitmaps and sizes allow no link, or when all its members are in one component by then. Leaves are
+   compared at once, so a walk returns no candidates but the links of a spanning forest.
+
+Families too large for one tree are cut into blocks. Each block is walked by itself, then members of every block's
+components together, and at last those outside of the family's largest component with every block. The result is exact
+but for equal 48-bit hashes of shingles.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,9 +36,11 @@ PERCENT = 80
 HASH_BYTES = 6
 #: Slots of the sketch that tells shingles of many documents.
 SLOT_BITS = 22
-#: Rows of a bucket that one walk takes; larger buckets are walked chunk by chunk.
-CHUNK = 2048
-LEAF, FANOUT = 8, 4
+#: A prefix is longer by one of so many shingles, and as many have to be shared.
+SHARED_PART = 20
+#: Most members and shingles of a block that a tree is built of, and 64-bit words of all its bitmaps.
+MEMBERS, SHINGLES, BITMAP_WORDS = 4096, 1 << 21, 1 << 22
+LEAF, FANOUT = 32, 8
 
 
 # --- sets -------------------------------------------------------------------------------------------------------------
@@ -58,39 +66,38 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """A bitmap of at least twice as many bits as shingles, a power of two: a bit for each."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
-    out = np.zeros(bits, np.uint8)
-    out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").view("<u8")
-
-
 def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n, fp and check (two hashes of the set) and tokens, for every row."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            n, fp, check, tokens = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k)
                 with np.errstate(over="ignore"):
-                    fp = common.mix(np.array([np.bitwise_xor.reduce(common.mix(s)) if len(s) else 0, len(s)], np.uint64))
-                    check = common.mix(s + np.uint64(0x51ED27)).sum(dtype=np.uint64)
-                rows.append((doc_id, len(s), int(fp.sum(dtype=np.uint64).view(np.int64)), int(check.view(np.int64)), _pack(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp", "check", "tokens"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(build, "doc_id long, n int, fp long, check long, tokens binary")
-
-
-def signatures(sets: DataFrame) -> DataFrame:
-    """fp and sig of sets (fp, tokens)."""
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in common.slices(batches):
-            yield pd.DataFrame({"fp": batch["fp"].to_numpy(), "sig": [signature(_unpack(t)).tobytes() for t in batch["tokens"]]})
-
-    return sets.mapInPandas(sign, "fp long, sig binary")
+                    fp.append(common.mix(np.array([np.bitwise_xor.reduce(common.mix(s)) if len(s) else 0, len(s)], np.uint64)).sum(dtype=np.uint64))
+                    check.append(common.mix(s + np.uint64(0x51ED27)).sum(dtype=np.uint64))
+                n.append(len(s))
+                tokens.append(_pack(s))
+            yield common.with_columns(batch, ["doc_id"], n=np.array(n, np.int32), fp=np.array(fp, np.uint64).view(np.int64), check=np.array(check, np.uint64).view(np.int64), tokens=pa.array(tokens, pa.binary()))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, "doc_id long, n int, fp long, check long, tokens binary")
+
+
+def told_apart(sets: DataFrame) -> DataFrame:
+    """A staged table of sets in which fp is the same for equal sets only. Of different sets with the same 64-bit fp
+    all but the least (n, check) get another one."""
+    while True:
+        facts = sets.groupBy("fp").agg(F.min(F.struct("n", "check")).alias("x"), F.max(F.struct("n", "check")).alias("y"))
+        clash = common.stage(facts.where("x <> y").select("fp", "x"), "clash")
+        if clash.isEmpty():
+            common.discard(clash)
+            return sets
+        other = F.col("x").isNotNull() & (F.struct("n", "check") != F.col("x"))
+        parted = sets.join(clash, "fp", "left").withColumn("fp", F.when(other, F.xxhash64("fp", "n", "check")).otherwise(F.col("fp"))).select(*sets.columns)
+        again = common.stage(parted, "sets")
+        common.discard(sets, clash)
+        sets = again
 
 
 # --- prefixes ---------------------------------------------------------------------------------------------------------
@@ -101,7 +108,7 @@ def frequent_slots(sets: DataFrame) -> np.ndarray:
     of shingles; any choice gives the same links. Every partition counts all of its sets and reports the slots that
     stand out from its mean."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << SLOT_BITS, np.int64)
         total, held, waiting = 0, [], 0
 
@@ -110,8 +117,8 @@ def frequent_slots(sets: DataFrame) -> np.ndarray:
             slots[at] += n
 
         for batch in batches:
-            for data in batch["tokens"]:
-                held.append((_unpack(data) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64))
+            for data in batch.column("tokens"):
+                held.append((_unpack(data.as_py()) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64))
                 total, waiting = total + len(held[-1]), waiting + len(held[-1])
                 if waiting > 1 << 20:
                     add()
@@ -119,9 +126,9 @@ def frequent_slots(sets: DataFrame) -> np.ndarray:
         if held:
             add()
         high = np.flatnonzero(slots > 8 + 4 * total / (1 << SLOT_BITS))
-        yield pd.DataFrame({"word": (high >> 6).astype(np.int32), "bits": (np.uint64(1) << (high & 63).astype(np.uint64)).view(np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array((high >> 6).astype(np.int32)), pa.array((np.uint64(1) << (high & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-    found = sets.select("tokens").mapInPandas(count, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()  # 2**(SLOT_BITS - 6) rows at most
+    found = sets.select("tokens").mapInArrow(count, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()  # 2**(SLOT_BITS - 6) rows at most
     out = np.zeros(1 << (SLOT_BITS - 6), np.int64)
     for r in found:
         out[r["word"]] = r["bits"]
@@ -135,13 +142,20 @@ def in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~often], s[often]])
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+def least_shared(n):
+    """How many prefix shingles a set of n has to share with a set that is not smaller and links with it."""
+    return np.maximum(1, np.asarray(n) // SHARED_PART)
+
+
+def prefix_length(n, percent: int = PERCENT):
+    n = np.asarray(n, np.int64)
+    return np.minimum(n, n - -(-percent * n // 100) + least_shared(n))
 
 
-def short_length(n: int, percent: int = PERCENT) -> int:
+def short_length(n, percent: int = PERCENT):
     """The part of the prefix that is enough of the smaller of two sets: they have to share 2 t / (1 + t) of its n."""
-    return n - -(-2 * percent * n // (100 + percent)) + 1 if n else 0
+    n = np.asarray(n, np.int64)
+    return np.minimum(n, n - -(-2 * percent * n // (100 + percent)) + least_shared(n))
 
 
 #: Sets that a task remembers, so that it gives the shingles of equal sets once.
@@ -151,307 +165,285 @@ REMEMBERED = 1_000_000
 def prefixes(sets: DataFrame, frequent, percent: int = PERCENT) -> DataFrame:
     """token, fp, n and short: a row for each shingle of each set's prefix; short: it is of the prefix's short part."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, told = frequent.value, set()
         for batch in common.slices(batches):
-            batch = batch.drop_duplicates("fp")
-            batch = batch[[fp not in told for fp in batch["fp"].tolist()]]
+            new = []
+            for i, fp in enumerate(batch.column("fp").to_pylist()):
+                if fp not in told:
+                    told.add(fp)
+                    new.append(i)
             if len(told) > REMEMBERED:
                 told.clear()
-            told.update(batch["fp"].tolist())
-            parts = [in_order(_unpack(t), slots)[: prefix_length(n, percent)] for t, n in zip(batch["tokens"], batch["n"].tolist(), strict=True)]
-            sizes = np.array([len(p) for p in parts], np.int64)
+            batch = batch.take(pa.array(new, pa.int64()))
+            n = batch.column("n").to_numpy().astype(np.int64)
+            sizes = prefix_length(n, percent)
+            parts = [in_order(_unpack(t.as_py()), slots)[:size] for t, size in zip(batch.column("tokens"), sizes.tolist(), strict=True)]
             place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            short = place < np.repeat(np.array([short_length(n, percent) for n in batch["n"].tolist()], np.int64), sizes)
-            yield pd.DataFrame({"token": np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64), "fp": np.repeat(batch["fp"].to_numpy(np.int64), sizes), "n": np.repeat(batch["n"].to_numpy(np.int32), sizes), "short": short})
+            token = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(batch.column("fp").to_numpy(), sizes)), pa.array(np.repeat(n, sizes).astype(np.int32)), pa.array(place < np.repeat(short_length(n, percent), sizes))], ["token", "fp", "n", "short"])
 
-    return sets.select("fp", "n", "tokens").where("n > 0").mapInPandas(cut, "token long, fp long, n int, short boolean")
+    return sets.select("fp", "n", "tokens").where("n > 0").mapInArrow(cut, "token long, fp long, n int, short boolean")
+
+
+ROWS = "token long, fp long, n int, short boolean"
 
 
 def with_partners(tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows (token, fp, n) of prefixes that another set's row may link with: of two sets that link, the smaller has
-    the token in its short part and the sizes are near. In order of size the nearest row that counts tells it, so rows
-    pass in a stream and a bucket of any size takes no memory."""
+    """The rows (token, fp, n, short) of prefixes that another set's row may link with: of two sets that link, the
+    smaller has the token in its short part and the sizes are near. In order of size the nearest row that counts tells
+    it, so rows pass in a stream and a bucket of any size takes no memory."""
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_short = None, -1  # the last row, which waits for the next, and the size of the last short row before it
+        out = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "fp", "n", "short"])
 
         for batch in batches:
+            token, fp, n, short = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "fp", "n", "short"))
             if held is not None:
-                batch = pd.concat([held, batch], ignore_index=True)
-            token, fp, n, short = (batch[c].to_numpy() for c in ("token", "fp", "n", "short"))
-            fresh = np.ones(len(batch), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
-            token, fp, n, short = token[fresh], fp[fresh], n[fresh].astype(np.int64), short[fresh]
+                token, fp, n, short = (np.concatenate([h, c]) for h, c in zip(held, (token, fp, n, short), strict=True))
             if not len(token):
                 continue
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
+            token, fp, n, short = token[fresh], fp[fresh], n[fresh].astype(np.int64), short[fresh]
             begins = np.concatenate([[True], token[1:] != token[:-1]])
             first = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
             last_short = np.concatenate([[-1], np.maximum.accumulate(np.where(short, np.arange(len(token)), -1))[:-1]])
             before = np.where(last_short >= first, n[np.maximum(last_short, 0)], np.where(first == 0, held_short, -1))
             good = 100 * before >= percent * n
             good[:-1] |= short[:-1] & ~begins[1:] & (100 * n[:-1] >= percent * n[1:])
-            yield pd.DataFrame({"token": token[:-1], "fp": fp[:-1], "n": n[:-1].astype(np.int32)})[good[:-1]]
-            held, held_short = pd.DataFrame({"token": token[-1:], "fp": fp[-1:], "n": n[-1:].astype(np.int32), "short": short[-1:]}), int(before[-1])
-        if held is not None and 100 * held_short >= percent * int(held["n"].iloc[0]):
-            yield held[["token", "fp", "n"]]
+            some = np.flatnonzero(good[:-1])
+            yield out(token[some], fp[some], n[some].astype(np.int32), short[some])
+            held, held_short = (token[-1:], fp[-1:], n[-1:].astype(np.int32), short[-1:]), int(before[-1])
+        if held is not None and 100 * held_short >= percent * int(held[2][0]):
+            yield out(*held)
 
-    return tokens.repartition("token").sortWithinPartitions("token", "n", "fp").mapInPandas(keep, "token long, fp long, n int")
+    return tokens.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(keep, ROWS)
 
 
-# --- signature trees --------------------------------------------------------------------------------------------------
+def that_may_link(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of classes that share enough prefix shingles with all others together: as many as with the smallest set
+    that they may link with."""
+    smallest = F.ceil(F.col("n") * percent / 100)
+    enough = rows.groupBy("fp", "n").agg(F.count("*").alias("_shared")).where(F.col("_shared") >= F.greatest(F.lit(1), F.floor(smallest / SHARED_PART)))
+    return rows.join(enough.select("fp"), "fp")
 
 
-def _count_bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(-1, dtype=np.int64)
+def families(rows: DataFrame) -> DataFrame:
+    """fp, n and family of every class of rows, a staged table. family is the least fp that shared shingles reach."""
+    centre = rows.groupBy("token").agg(F.min("fp").alias("a"))
+    found = common.components(rows.join(centre, "token").select("a", F.col("fp").alias("b")))
+    classes = rows.select("fp", "n").distinct()
+    named = common.stage(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("family")), "families")
+    common.discard(found)
+    return named
 
 
-def _fold(sig: np.ndarray, words: int) -> np.ndarray:
-    while len(sig) > words:
-        sig = sig[: len(sig) // 2] | sig[len(sig) // 2 :]
-    return sig
+# --- signature trees --------------------------------------------------------------------------------------------------
 
 
-class SignatureTree:
-    """Levels from single sets up to a root: OR bitmaps, ranges of sizes, most shingles that share bits, and the
-    component if all members have the same (else -1 as index)."""
-
-    def __init__(self, n: np.ndarray, sig: np.ndarray, group: np.ndarray):
-        """In order of group and size, so that nodes are of like members. group: components as numbers from 0."""
-        self.levels = [(sig, n, n, n - _count_bits(sig), group)]
-        step = LEAF
-        while len(self.levels[-1][1]) > 1:
-            sig, low, high, twice, group = self.levels[-1]
-            at = np.arange(0, len(low), step)
-            same = np.minimum.reduceat(group, at) == np.maximum.reduceat(group, at)
-            self.levels.append((np.bitwise_or.reduceat(sig, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(twice, at), np.where(same, group[at], -1)))
-            step = FANOUT
-
-
-def _may_link(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int, single: bool) -> np.ndarray:
-    """Which pairs of nodes may hold a link across components."""
-    sig_a, low_a, high_a, twice_a, group_a = a
-    sig_b, low_b, high_b, twice_b, group_b = b
-    ok = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i]) & ((group_a[i] != group_b[j]) | (group_a[i] < 0))
-    out = np.zeros(len(i), bool)
-    live = np.flatnonzero(ok)
-    for part in np.array_split(live, max(1, len(live) * sig_a.shape[1] // 4_000_000)):
-        p, q = i[part], j[part]
-        both = _count_bits(sig_a[p] & sig_b[q])
-        most = np.minimum(np.minimum(high_a[p], high_b[q]), both + np.minimum(twice_a[p], twice_b[q]))
-        out[part] = most * (100 + percent) >= percent * (low_a[p] + low_b[q])  # overlap o links if 100 o >= percent (x + y - o)
-    return out
+def _count_bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
-def candidate_pairs(n: np.ndarray, sig: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (indices) of a member of left with a member of right that may link across groups. Each unordered pair comes
-    once if left and right are the same. Sets that may link have bitmaps of the same length or of two that follow, so
-    members are walked by lengths and no bitmap is folded more than once."""
-    words = np.array([len(s) for s in sig])
-    same, found = np.array_equal(left, right), []
-    for w in np.unique(words).tolist():
-        own, other = left[words[left] == w], right[words[right] == w]
-        found.append(_walk_trees(n, sig, group, own, other, w, percent, same))
-        found.append(_walk_trees(n, sig, group, own, right[words[right] == 2 * w], w, percent, False))
-        if not same:
-            found.append(_walk_trees(n, sig, group, left[words[left] == 2 * w], other, w, percent, False))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def _walk_trees(n: np.ndarray, sig: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray, words: int, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of candidate_pairs by a walk down two trees at once, over bitmaps folded to the given words. same: left
-    and right are the same."""
-    if not len(left) or not len(right):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    sides = []
-    for members in (left, right):
-        order = members[np.lexsort((n[members], group[members]))]
-        sides.append((order, SignatureTree(n[order].astype(np.int64), np.stack([_fold(sig[i], words) for i in order.tolist()]), group[order].astype(np.int64))))
-    (own, a), (other, b) = sides
-    depth = max(len(a.levels), len(b.levels))
-    i = j = np.zeros(1, np.int64)
-    for level in range(depth - 1, -1, -1):
-        la, lb = (t.levels[min(level, len(t.levels) - 1)] for t in (a, b))
-        keep = _may_link(la, lb, i, j, percent, not level)
-        i, j = i[keep], j[keep]
-        if not level or not len(i):
-            break
-        step = LEAF if level == 1 else FANOUT
-
-        def below(k: np.ndarray, tree: SignatureTree, level: int = level, step: int = step) -> tuple[np.ndarray, np.ndarray]:
-            if level >= len(tree.levels):
-                return k, k + 1
-            return k * step, np.minimum((k + 1) * step, len(tree.levels[level - 1][1]))
-
-        (a0, a1), (b0, b1) = below(i, a), below(j, b)
-        wide, high = a1 - a0, b1 - b0
-        each = wide * high
-        k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        i, j = np.repeat(a0, each) + k // np.repeat(high, each), np.repeat(b0, each) + k % np.repeat(high, each)
-        if same and level == 1:
-            i, j = i[i < j], j[i < j]
-        elif same:
-            i, j = i[i <= j], j[i <= j]
-    if same and depth == 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return own[i], other[j]
+class SignatureTree:
+    """The classes of a block in leaves of up to LEAF; each node holds the OR of its members' bitmaps, their least and
+    greatest size, and how many tokens of a member fall together in its bitmap at most."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        size = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        known, number, times = np.unique(every, return_inverse=True, return_counts=True)
+        shared = times > 1  # what one set only has is in no intersection
+        number = (np.cumsum(shared) - 1)[number.ravel()]
+        kept = shared[np.searchsorted(known, every)] if len(every) else np.empty(0, bool)
+        owner = np.repeat(np.arange(len(sets)), size)[kept]
+        number = number[kept]
+        # members with the same rarest token, by hash, stand together, so that nodes are of like members
+        mark = np.full(len(sets), np.iinfo(np.uint64).max)
+        np.minimum.at(mark, owner, common.mix(number.astype(np.uint64)))
+        self.order = np.lexsort((size, mark))
+        rank = np.empty(len(sets), np.int64)
+        rank[self.order] = np.arange(len(sets))
+        owner = rank[owner]
+        by = np.lexsort((number, owner))
+        owner, number = owner[by], number[by]
+        self.percent, self.size = percent, size[self.order]
+        self.tokens = np.split(number, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1]) if sets else []
+        words = max(1, -(-int(shared.sum()) // 64))
+        most = max(16, BITMAP_WORDS // max(1, len(sets)))
+        self.exact = words <= most
+        if not self.exact:
+            words = 1 << (most.bit_length() - 1)
+        at = number % (64 * words)
+        bitmap = np.zeros((len(sets), words), np.uint64)
+        np.bitwise_or.at(bitmap, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        twice = np.bincount(owner, minlength=len(sets)) - _count_bits(bitmap)
+        self.component = np.arange(len(sets))
+        begins = np.arange(0, len(sets), LEAF)
+        self.bitmap, self.twice = bitmap, twice
+        self.levels = []  # from the leaves up: bitmaps, least and greatest size, tokens that fall together, first member
+        low = high = self.size
+        while len(begins):
+            bitmap, low, high, twice = np.bitwise_or.reduceat(bitmap, begins), np.minimum.reduceat(low, begins), np.maximum.reduceat(high, begins), np.maximum.reduceat(twice, begins)
+            step = LEAF * FANOUT ** len(self.levels)
+            self.levels.append((bitmap, low, high, twice, np.append(np.arange(0, len(sets), step), len(sets))))
+            if len(bitmap) == 1:
+                break
+            begins = np.arange(0, len(bitmap), FANOUT)
+
+    def _bounds(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The greatest share (over 1: a link is possible) of the least overlap of a link that pairs of nodes allow."""
+        bitmap, low, high, twice, _ = self.levels[level]
+        both = np.concatenate([_count_bits(bitmap[i[a : a + 256]] & bitmap[j[a : a + 256]]) for a in range(0, len(i), 256)])
+        most = np.minimum(np.minimum(high[i], high[j]), both + np.minimum(twice[i], twice[j]))
+        near = (100 * high[i] >= self.percent * low[j]) & (100 * high[j] >= self.percent * low[i])
+        return np.where(near, most * (100 + self.percent) / (self.percent * (low[i] + low[j])), 0.0)
+
+    def _join(self, a: int, b: int) -> None:
+        self.component[self.component == self.component[b]] = self.component[a]
+
+    def _leaves(self, a: slice, b: slice, wanted: np.ndarray | None) -> Iterator[tuple[int, int]]:
+        """Links that join components between the members of two leaves."""
+        n, m = self.size[a, None], self.size[None, b]
+        open_ = (self.component[a, None] != self.component[None, b]) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))
+        if wanted is not None:
+            open_ &= wanted[a, None] | wanted[None, b]
+        i, j = np.nonzero(open_)
+        if not len(i):
+            return
+        step = max(1, (1 << 18) // self.bitmap.shape[1])
+        both = np.concatenate([_count_bits(self.bitmap[a][i[k : k + step]] & self.bitmap[b][j[k : k + step]]) for k in range(0, len(i), step)])
+        if not self.exact:
+            both = both + np.minimum(self.twice[a][i], self.twice[b][j])
+        good = np.flatnonzero((100 + self.percent) * both >= self.percent * (self.size[a][i] + self.size[b][j]))
+        for x, y in zip((i[good] + a.start).tolist(), (j[good] + b.start).tolist(), strict=True):
+            if self.component[x] != self.component[y] and (self.exact or self._links(x, y)):
+                self._join(x, y)
+                yield x, y
+
+    def _links(self, x: int, y: int) -> bool:
+        both = len(np.intersect1d(self.tokens[x], self.tokens[y], assume_unique=True))
+        return bool((100 + self.percent) * both >= self.percent * (self.size[x] + self.size[y]))
+
+    def links(self, component: np.ndarray | None = None, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Pairs of sets (numbers in the given order) that link and join the components that links make. component:
+        those known before; wanted: pairs without one of these sets are not asked for."""
+        if not self.levels:
+            return []
+        if component is not None:
+            self.component = component[self.order].copy()
+        if wanted is not None:
+            wanted = wanted[self.order]
+        out: list[tuple[int, int]] = []
+        top = len(self.levels) - 1
+        queue = [(-float("inf"), top, 0, 0)]
+        while queue:
+            _, level, i, j = heapq.heappop(queue)
+            first = self.levels[level][4]
+            a, b = slice(int(first[i]), int(first[i + 1])), slice(int(first[j]), int(first[j + 1]))
+            here = self.component[a.start]
+            if (self.component[a] == here).all() and (self.component[b] == here).all():
+                continue
+            if wanted is not None and not (wanted[a].any() or wanted[b].any()):
+                continue
+            if not level:
+                out += self._leaves(a, b, wanted)
+                continue
+            below = len(self.levels[level - 1][1])
+            left, right = np.arange(i * FANOUT, min((i + 1) * FANOUT, below)), np.arange(j * FANOUT, min((j + 1) * FANOUT, below))
+            p, q = np.repeat(left, len(right)), np.tile(right, len(left))
+            if i == j:
+                p, q = p[p <= q], q[p <= q]
+            bound = self._bounds(level - 1, p, q)
+            for k in np.flatnonzero(bound >= 1 - 1e-9).tolist():
+                heapq.heappush(queue, (-float(bound[k]), level - 1, int(p[k]), int(q[k])))
+        return [(int(self.order[x]), int(self.order[y])) for x, y in out]
+
+
+def _walk(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) of each group of keys by a walk of its tree. rows: keys, fp, tokens, and for groups of which
+    something is known comp and open; only pairs with an open set are asked for then. A group is a block, so it has at
+    most about MEMBERS sets and SHINGLES shingles twice."""
+    known = "comp" in rows.columns
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def walk(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").to_numpy()
+        _, one = np.unique(fp, return_index=True)
+        sets = [_unpack(table.column("tokens")[i].as_py()) for i in one.tolist()]
+        component = wanted = None
+        if known:
+            component = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1].ravel()[one]
+            wanted = np.isin(fp[one], fp[table.column("open").to_numpy(zero_copy_only=False)])
+        found = SignatureTree(sets, percent).links(component, wanted) if len(one) > 1 else []
+        a, b = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
+        return pa.Table.from_arrays([pa.array(fp[one][a]), pa.array(fp[one][b])], schema=schema)
+
+    return rows.groupBy(*keys).applyInArrow(walk, "a long, b long")
 
 
 # --- the join ---------------------------------------------------------------------------------------------------------
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    pairs = common.stage(pairs.distinct(), "pairs")
-    named = common.stage(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "named")
-    own = sets.select("fp", "tokens").join(common.small(named), "fp").dropDuplicates(["fp"])
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = _unpack(x), _unpack(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[np.array(good, bool), ["a", "b"]]
-
-    met = pairs.join(own.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
-
-
-#: Most rounds that compare classes with members of their buckets' largest components.
-HUB_ROUNDS = 2
-
-
-def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (token, fp, n) with comp, the component of fp."""
-    return rows.join(roots, rows["fp"] == roots["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("comp"))
-
-
-def _hub_pairs(rows: DataFrame, number: int, percent: int) -> DataFrame:
-    """At most two pairs (a, b) for each class of which a quarter of a prefix is shared: with members of the components
-    that are most frequent in two of its buckets. Each bucket has its own member, and each round another. rows: token,
-    fp, n, comp."""
-    turn = F.xxhash64("fp", "token", F.lit(number))
-    inside = rows.groupBy("token", "comp").agg(F.count("*").alias("of"), F.max(F.struct(turn.alias("turn"), "fp", "n")).alias("h"))
-    hubs = inside.groupBy("token").agg(F.max(F.struct("of", "comp", F.col("h.fp").alias("hub"), F.col("h.n").alias("m"))).alias("h")).select("token", "h.*").withColumnRenamed("comp", "hub_comp")
-    near = rows.join(hubs, "token").where(f"comp <> hub_comp AND 100 * least(n, m) >= {percent} * greatest(n, m)")
-    own = near.groupBy("fp", "n").agg(F.count("*").alias("shared"), F.min_by("hub", turn).alias("h0"), F.max_by("hub", turn).alias("h1")).where(f"shared * 400 >= n * {100 - percent}")
-    return own.select(F.explode(F.array_distinct(F.array("h0", "h1"))).alias("a"), F.col("fp").alias("b"))
-
-
-def _bands(n: F.Column, percent: int) -> F.Column:
-    """Sets that may link are of the same band of sizes or of two that follow."""
-    return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-
-
-def _walks(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may link, of buckets with several components. rows: token, fp, n, comp; signed: fp, sig."""
-    # small buckets are walked whole; large ones by bands of sizes, where a set also visits the band below its own
-    sizes = rows.groupBy("token").agg(F.count("*").alias("all"))
-    banded = rows.join(sizes, "token").withColumn("home", F.lit(True)).withColumn("band", F.when(F.col("all") > CHUNK, _bands(F.col("n"), percent)).otherwise(F.lit(0)))
-    spread = banded.unionByName(banded.where(F.col("all") > CHUNK).withColumn("home", F.lit(False)).withColumn("band", F.col("band") - 1)).drop("all")
-    facts = spread.groupBy("token", "band").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("some")).where("lo <> hi AND some")
-    chunks = spread.join(facts.select("token", "band", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), ["token", "band"])
-    chunks = chunks.withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
-    # chunk i meets every chunk j: the row of chunk c stands on the left of (c, j) for j >= c and on the right of (i, c) for i <= c
-    met = chunks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("token", "band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "fp", "n", "comp", "home")
-    met = met.join(signed, "fp")
-
-    def walk(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        n, comp, fp, home, own = (pdf[c].to_numpy() for c in ("n", "comp", "fp", "home", "own"))
-        sig = [np.frombuffer(s, "<u8") for s in pdf["sig"]]
-        everyone = np.arange(len(pdf))
-        left, right = everyone[own == pdf["i"].iloc[0]], everyone[own == pdf["j"].iloc[0]]
-        if not len(left) or not len(right):
-            return fp[:0], fp[:0]
-        a, b = candidate_pairs(n, sig, np.unique(comp, return_inverse=True)[1], left, right, percent)
-        met = home[a] | home[b]  # a pair of visitors meets where they are at home
-        return np.minimum(fp[a], fp[b])[met], np.maximum(fp[a], fp[b])[met]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, rest = ["token", "band", "i", "j"], None
-
-        told: set[tuple[int, int]] = set()  # pairs that earlier buckets of this task have given; forgotten when many
-
-        def fresh(pairs: pd.DataFrame) -> pd.DataFrame:
-            if len(told) > 1_000_000:
-                told.clear()
-            new = np.array([p not in told for p in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)], bool)
-            told.update(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True))
-            return pairs[new]
-
-        def out(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-            edges = [*np.flatnonzero(new), len(pdf)]
-            found = [walk(pdf.iloc[s:e]) for s, e in zip(edges, edges[1:], strict=False) if e - s > 1]
-            if found:
-                yield fresh(pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates())
-
-        for batch in batches:
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            last = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
-            head = len(batch) - int(last[::-1].argmin()) if not last.all() else 0
-            rest = batch.iloc[head:]
-            if head:
-                yield from out(batch.iloc[:head])
-        if rest is not None and len(rest):
-            yield from out(rest)
-
-    return met.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "comp", "n").mapInPandas(run, "a long, b long")
-
-
-def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _links(classes: DataFrame, sets: DataFrame, percent: int, members: int, shingles: int) -> DataFrame:
+    """Links (a, b) that connect what links connect. classes: fp, n, family; a staged table."""
+    sizes = classes.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
+    blocks = sizes.select("family", F.greatest(F.ceil(F.col("m") / members), F.ceil(F.col("all") / shingles)).cast("int").alias("blocks"))
+    dealt = common.stage(classes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")), "dealt")
+    own = sets.select("fp", "tokens").join(common.small(dealt), "fp").groupBy("fp", "n", "family", "blocks", "block").agg(F.first("tokens").alias("tokens"))
+    links = common.stage(_walk(own, ["family", "block"], percent), "links")
+    large = dealt.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    own = common.stage(own.where("blocks > 1"), "large")
+
+    def placed(links: DataFrame) -> DataFrame:
+        roots = common.components(links)
+        return common.stage(own.drop("tokens").join(roots, own["fp"] == roots["node"], "left").select("fp", "n", "family", "blocks", "block", F.coalesce("root", "fp").alias("comp")), "placed")
+
+    # one member of every component of every block, as many as a block may have, of the largest components first
+    known = placed(links)
+    ends = known.groupBy("family", "block", "comp").agg(F.count("*").alias("of"), F.max_by(F.struct("fp", "n"), F.col("n")).alias("x")).select("family", "of", "comp", "x.fp", "x.n")
+    first = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("of"), "fp"))
+    before = F.sum("n").over(Window.partitionBy("family").orderBy(F.desc("of"), "fp").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumn("_first", first).withColumn("_all", before).where((F.col("_first") <= members) & (F.col("_all") <= shingles)).select("fp", "comp", F.lit(True).alias("open"))
+    links = links.unionByName(common.stage(_walk(own.join(ends, "fp"), ["family"], percent), "links"))
+
+    # what is outside of the family's largest component meets every block
+    known = placed(links)
+    main = known.groupBy("family", "comp").agg(F.count("*").alias("of")).groupBy("family").agg(F.max(F.struct("of", "comp"))["comp"].alias("main"))
+    known = known.join(main, "family").withColumn("open", F.col("comp") != F.col("main")).drop("main")
+    chunks = known.where("open").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / shingles)).cast("int").alias("chunks"))
+    known = known.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(1)), "chunks").cast("int"))
+    outside = known.where("open").select("fp", "family", "comp", "open", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    inside = known.select("fp", "family", "comp", F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block")
+    met = outside.unionByName(inside).join(own.select("fp", "tokens"), "fp")
+    return links.unionByName(common.stage(_walk(met, ["family", "block", "chunk"], percent), "links"))
+
+
+def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
-    Null and empty texts and texts without words have no shingles and are components of their own; equal sets link;
-    repeated rows are rows of the same document. An empty table gives no rows."""
+    Null and empty texts and texts without words have no shingles and are components of their own; whole texts count,
+    however long; equal sets link; repeated rows, and rows that share a doc_id, are rows by themselves; a row without
+    doc_id has a component of null, unless it links with one that has an id. Other columns are not used. An empty table
+    gives no rows. members and shingles bound what one tree holds."""
     spark = docs.sparkSession
-    sets = common.stage(shingle_sets(docs, k), "sets")
-    clash = sets.groupBy("fp").agg(F.min(F.struct("n", "check")).alias("x"), F.max(F.struct("n", "check")).alias("y")).where("x <> y")
-    if not clash.isEmpty():
-        raise ArithmeticError("two sets have the same 64-bit hash")
+    sets = told_apart(common.stage(shingle_sets(docs, k), "sets"))
     frequent = spark.sparkContext.broadcast(frequent_slots(sets))  # 2**SLOT_BITS bits
-    tokens = prefixes(sets, frequent, percent)
-    buckets = common.stage(with_partners(tokens, percent), "buckets")
-
-    # Of a family of near copies the original shares the largest part of its shingles: it is the one to compare with.
-    # Classes of which little is shared are left to the trees.
-    share = (F.count("*") / F.col("n")).alias("share")
-    ends = buckets.groupBy("fp", "n").agg(share, F.min("token").alias("t0"), F.max("token").alias("t1"), F.min_by("token", F.xxhash64("token")).alias("t2")).where(f"share * n * 4 >= n * {(100 - percent) / 100}").select("fp", "n", "share", F.explode(F.array_distinct(F.array("t0", "t1", "t2"))).alias("token"))
-    hubs = ends.groupBy("token").agg(F.max(F.struct("share", "fp", "n")).alias("h")).select("token", F.col("h.fp").alias("hub"), F.col("h.n").alias("m"))
-    tried = ends.join(hubs, "token").where(f"fp <> hub AND 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-    links = common.stage(_verify(tried, sets, percent), "links")
-    roots = common.stage(common.components(links), "roots")
-
-    # of buckets with the same members one is enough; members are told apart by two xors of hashes and their number
-    placed = common.stage(_placed(buckets, roots), "placed")
-    members = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")]
-    facts = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members).where("lo <> hi")
-    open_tokens = common.stage(facts.groupBy("lo", "hi", "members", "x", "y").agg(F.min("token").alias("token")).select("token"), "open")
-    rest = common.stage(placed.join(common.small(open_tokens), "token"), "rest")
-
-    for number in range(HUB_ROUNDS):
-        tried = common.stage(_hub_pairs(rest, number, percent), "tried")
-        new = common.stage(_verify(tried, sets, percent), "links")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        roots = common.stage(common.components(links), "roots")
-        rest = _placed(rest.drop("comp"), roots)
-        rest = common.stage(rest.join(rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "token"), "rest")
-    signed = signatures(sets.select("fp", "tokens").join(common.small(common.stage(rest.select("fp").distinct(), "rest-sets")), "fp")).dropDuplicates(["fp"])
-    more = common.stage(_verify(_walks(rest, signed, percent), sets, percent), "more")
-
-    if more.isEmpty():
-        final = roots
-    else:
-        final = common.stage(common.components(links.unionByName(more)), "final")
-    rows = sets.select("doc_id", "n", "fp").join(final, sets["fp"] == final["node"], "left").select("doc_id", "n", F.coalesce("root", "fp").alias("key"))
-    least = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    rows = rows.join(least, "key", "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = common.stage(with_partners(prefixes(sets, frequent, percent), percent), "buckets")
+    fewer = common.stage(with_partners(that_may_link(rows, percent), percent), "buckets")
+    common.discard(rows)
+    last = common.stage(that_may_link(fewer, percent), "buckets")
+    common.discard(fewer)
+    frequent.unpersist()
+    classes = families(last)
+    common.discard(last)
+    links = _links(classes, sets, percent, members, shingles)
+    final = common.components(links)
+    keyed = sets.select("doc_id", "n", "fp").join(final, sets["fp"] == final["node"], "left").select("doc_id", "n", F.coalesce("root", "fp").alias("key"))
+    least = keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    keyed = keyed.join(least, "key", "left")
+    return keyed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
