@@ -6,7 +6,8 @@ class. The work is dealt out by families, so that every set is sent to one place
 1. With all shingles in one fixed order, two sets that link share at least l shingles of their prefixes, the first
    n - ceil(t n) + l of either (of the smaller one even the first n - ceil(2 t / (1 + t) n) + l). The order puts shingles
    that many documents have at the end, so prefixes meet where texts are alike and not where they share a common line.
-   Classes that share fewer prefix shingles with all others together can link with none.
+   Classes that share fewer prefix shingles with all others together can link with none. A sketch gives a first order;
+   for the classes that are left their shingles are counted, and the rarest come first in a second one.
 2. What remains falls into families: classes that shared prefix shingles connect. No link leaves a family.
 3. A family's classes are the leaves of a signature tree. Its nodes hold the OR of their members' token bitmaps and the
    range of their sizes. Two nodes are walked at once, the pair with the greatest possible overlap first; a pair is
@@ -230,6 +231,70 @@ def that_may_link(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.join(enough.select("fp"), "fp")
 
 
+#: Classes of a shingle beyond which it counts as so frequent.
+MOST_COUNTED = 256
+
+
+def rarest_first(sets: DataFrame, classes: DataFrame, frequent, percent: int = PERCENT) -> DataFrame:
+    """The rows of prefixes again, for classes (fp) only and in the order of how many of them have a shingle; shingles of
+    frequent slots stay last. Shingles of one class only come first but need no row."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = frequent.value
+        for batch in common.slices(batches):
+            parts, places = [], []
+            for t, size in zip(batch.column("tokens"), prefix_length(batch.column("n").to_numpy(), percent).tolist(), strict=True):
+                s = in_order(_unpack(t.as_py()), slots)
+                slot = (s & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+                rare = int(((slots[slot >> 6] >> (slot & 63)) & 1 == 0).sum())
+                parts.append(s[: max(size, rare)])
+                places.append(np.arange(len(parts[-1])) >= rare)
+            sizes = np.array([len(x) for x in parts], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts or [np.empty(0)]).astype(np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("fp", "n")), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(places or [np.empty(0)]).astype(bool))], ["token", "fp", "n", "m", "often"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "fp", "n", "m", "often"]
+        held, begun = None, 0  # rows of a shingle that goes on, and how many of it are out already
+
+        def out(columns: list[np.ndarray], times: np.ndarray) -> pa.RecordBatch:
+            some = np.flatnonzero(times > 1)
+            return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (*columns[:4], np.where(columns[4], MOST_COUNTED + 1, np.minimum(times, MOST_COUNTED)).astype(np.int32))], ["token", "fp", "n", "m", "times"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            token, fp = columns[:2]
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
+            columns = [c[fresh] for c in columns]
+            first = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+            sizes = np.diff(np.append(first, len(columns[0])))
+            times = np.repeat(sizes, sizes)
+            times[: sizes[0]] += begun
+            last = int(first[-1])
+            if len(first) > 1:
+                begun = 0
+            if int(sizes[-1]) + begun > MOST_COUNTED:  # all that is to know of the last shingle is known; its last row stays, since repeats of it may come
+                begun += int(sizes[-1]) - 1
+                last = len(columns[0]) - 1
+            yield out([c[:last] for c in columns], times[:last])
+            held = [c[last:] for c in columns]
+        if held is not None and len(held[0]):
+            yield out(held, np.full(len(held[0]), len(held[0]) + begun))
+
+    some = sets.where("n > 0").select("fp", "n", "tokens").join(common.small(classes), "fp", "left_semi")
+    each = some.mapInArrow(explode, "token long, fp long, n int, m int, often boolean").repartition("token").sortWithinPartitions("token", "fp")
+    counted = each.mapInArrow(count, "token long, fp long, n int, m int, times int")
+    own = Window.partitionBy("fp")
+    counted = counted.withColumn("_place", F.row_number().over(own.orderBy("times", "token")) + F.col("m") - F.count("*").over(own))
+    length = lambda least: F.least(F.col("n"), F.col("n") - F.ceil(least) + F.greatest(F.lit(1), F.floor(F.col("n") / SHARED_PART)))
+    counted = counted.where(F.col("_place") <= length(F.expr(f"n * {percent} / 100")))
+    return counted.select("token", "fp", "n", (F.col("_place") <= length(F.expr(f"n * {2 * percent} / {100 + percent}"))).alias("short"))
+
+
 def families(rows: DataFrame) -> DataFrame:
     """fp, n and family of every class of rows, a staged table. family is the least fp that shared shingles reach."""
     centre = rows.groupBy("token").agg(F.min("fp").alias("a"))
@@ -434,10 +499,11 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, member
     sets = told_apart(common.stage(shingle_sets(docs, k), "sets"))
     frequent = spark.sparkContext.broadcast(frequent_slots(sets))  # 2**SLOT_BITS bits
     rows = common.stage(with_partners(prefixes(sets, frequent, percent), percent), "buckets")
-    fewer = common.stage(with_partners(that_may_link(rows, percent), percent), "buckets")
+    alive = common.stage(that_may_link(rows, percent).select("fp").distinct(), "alive")
     common.discard(rows)
-    last = common.stage(that_may_link(fewer, percent), "buckets")
-    common.discard(fewer)
+    again = common.stage(with_partners(rarest_first(sets, alive, frequent, percent), percent), "buckets")
+    last = common.stage(that_may_link(again, percent), "buckets")
+    common.discard(alive, again)
     frequent.unpersist()
     classes = families(last)
     common.discard(last)
