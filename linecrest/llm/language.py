@@ -11,11 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import samples
+from . import common, samples
 
 ORDERS = 3
 #: n-grams are told apart by a hash of so many bits.
@@ -60,23 +60,29 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = 300, landmarks: int = 64, most: int = 3000, ridge: float = 1e-2, folds: int = 3, held: int = 1) -> Model:
     """Learn from about per_language texts of each language outside the held-out fold, `most` in all. Only text and lang
-    are used. Rows without text, lang or doc_id are no examples."""
-    rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (samples.fold(F.col("doc_id"), folds) != held))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    are used. Rows without text, lang or doc_id are no examples, and repeated rows are one; of several texts of a doc_id and
+    language the one with the least hash counts. Of more than `most` languages the most frequent are learned, and each has
+    a landmark at least."""
+    rows = docs.where(F.col("lang").isNotNull() & (samples.fold(F.col("doc_id"), folds) != held) & (F.length("text") > 0)).select("doc_id", F.col("lang").cast("string").alias("lang")).distinct()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}  # `most` texts have no more languages
     if not counts:
         return Model([], np.zeros((1 << HASH_BITS, 0), np.float32), np.zeros((0, 0)))
-    part = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
+    landmarks = max(landmarks, len(counts))
+    part = docs.sparkSession.createDataFrame([(lang, min(1.0, min(per_language, most / len(counts)) / n)) for lang, n in counts.items()], "lang string, part double")
     place = F.xxhash64("doc_id")
-    picked = rows.where(F.pmod(place, F.lit(1 << 30)) < part[F.col("lang")] * (1 << 30)).withColumn("place", place).orderBy("place", "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") > 0)  # `most` rows are broadcast
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    picked = rows.join(F.broadcast(part), "lang").withColumn("place", place).where((F.pmod("place", F.lit(1 << 30)) < F.col("part") * (1 << 30)) | (F.col("part") >= 1))
+    picked = picked.withColumn("turn", turn).orderBy("turn", "place", "doc_id").limit(most).select("doc_id", "lang", "place")  # languages go round, so the limit leaves out none
+    texts = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0).join(F.broadcast(picked), ["doc_id", "lang"])  # `most` rows are broadcast
+    texts = texts.groupBy("place", "doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), _BLOCK):
-                b = batch.iloc[a : a + _BLOCK]
-                yield pd.DataFrame({"place": b["place"], "lang": b["lang"], "bits": [r.tobytes() for r in np.packbits(presence(list(b["text"])) > 0, axis=1)]})
+            for a in range(0, batch.num_rows, _BLOCK):
+                b = batch.slice(a, _BLOCK)
+                yield common.with_columns(b, ["place", "lang"], bits=pa.array([r.tobytes() for r in np.packbits(presence(b.column("text").to_pylist()) > 0, axis=1)], pa.binary()))
 
-    found = texts.select("place", "lang", "text").mapInPandas(bits, "place long, lang string, bits binary").toPandas().sort_values(["place", "lang", "bits"])
+    found = texts.select("place", "lang", "text").mapInArrow(bits, "place long, lang string, bits binary").toPandas().sort_values(["place", "lang", "bits"])
     if not len(found):
         return Model([], np.zeros((1 << HASH_BITS, 0), np.float32), np.zeros((0, 0)))
     x = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in found["bits"]]), axis=1).astype(np.float32)
@@ -84,7 +90,7 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 64, most: i
     lang = found["lang"].to_numpy()
     languages = sorted(set(lang))
     # landmarks go round the languages
-    turn = pd.Series(lang).groupby(lang).cumcount().to_numpy()
+    turn = found.groupby("lang").cumcount().to_numpy()
     marks = x[np.lexsort((lang, turn))[:landmarks]]
     among = (marks @ marks.T).astype(float)
     value, vector = np.linalg.eigh(among)
@@ -98,21 +104,21 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 64, most: i
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, from its whole text. Texts that are null or without a letter
-    are `und` with score 0."""
+    are `und` with score 0; of languages with equal scores the first by name is taken; repeated rows get the same values;
+    texts count whole, however long; other columns are not used; an empty table gives no rows, and where nothing could be
+    learned all texts are `und`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**HASH_BITS times landmarks
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts, langs, values = list(batch["text"]), [], []
-            for a in range(0, len(texts), _BLOCK):
-                lang, value = model.score(texts[a : a + _BLOCK])
-                langs += lang
-                values.append(value)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": langs, "score": np.concatenate(values) if values else np.zeros(0)})
+            for a in range(0, batch.num_rows, _BLOCK):
+                part = batch.slice(a, _BLOCK)
+                lang, value = model.score(part.column("text").to_pylist())
+                yield common.with_columns(part, ["doc_id", "held_out"], lang_pred=pa.array(lang, pa.string()), score=value)
 
     held = F.coalesce(samples.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text")).mapInPandas(apply, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text")).mapInArrow(apply, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **parameters) -> DataFrame:

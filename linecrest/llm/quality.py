@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +98,13 @@ class Model:
             return np.full(len(texts), self.share)
         near = self.project(counts) @ self.vectors.T
         k = min(self.neighbours, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(texts), 1))
+        if k < near.shape[1]:
+            # of equal cosines at place k the labelled vectors that come first in their fixed order count
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+            rank = np.where(near > least, 2, np.where(near == least, 1, 0)) * near.shape[1] - np.arange(near.shape[1])
+            best = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+        else:
+            best = np.tile(np.arange(k), (len(texts), 1))
         pull = np.maximum(np.take_along_axis(near, best, 1), 1e-6) ** self.power
         out = (pull * self.votes[best]).sum(1) / (pull * self.weights[best]).sum(1)
         return np.where(counts.any(1), np.clip(out, 0, 1), self.share).astype(float)
@@ -109,13 +115,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     to the driver (2 * per_class * TERMS numbers at most)."""
     sample = samples.labelled(docs, labels, label, per_class)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), _BLOCK):
-                part = batch.iloc[a : a + _BLOCK]
-                yield pd.DataFrame({"place": part["place"], "label": part["label"], "counts": [r.tobytes() for r in term_counts(list(part["text"]))]})
+            for a in range(0, batch.num_rows, _BLOCK):
+                part = batch.slice(a, _BLOCK)
+                yield common.with_columns(part, ["place", "label"], counts=pa.array([r.tobytes() for r in term_counts(part.column("text").to_pylist())], pa.binary()))
 
-    rows = sample.mapInPandas(count, "place long, label int, counts binary").toPandas().sort_values(["place", "label", "counts"])
+    rows = sample.mapInArrow(count, "place long, label int, counts binary").toPandas().sort_values(["place", "label", "counts"])
     told = labels.where(F.col(label).isin(0, 1) & (samples.fold(F.col("doc_id"), 5) != 0)).agg(F.avg(F.col(label).cast("double")).alias("p")).collect()[0]["p"]
     share = float(told) if told is not None else 0.0
     y = rows["label"].to_numpy(np.float32)
@@ -139,21 +145,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row, from its whole text, and the columns named by keep."""
+    """doc_id, held_out, score and predicted of every row, from its whole text, and the columns named by keep. Null and
+    empty texts, and all texts where nothing could be learned, get the share of label 1; repeated rows get the same values;
+    an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * per_class vectors, and the axes
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = list(batch["text"])
-            s = np.concatenate([model.score(texts[a : a + _BLOCK]) for a in range(0, len(texts), _BLOCK)]) if texts else np.zeros(0)
-            yield batch[kept].assign(score=s, predicted=(s >= threshold).astype(np.int32))
+            for a in range(0, batch.num_rows, _BLOCK):
+                part = batch.slice(a, _BLOCK)
+                s = model.score(part.column("text").to_pylist())
+                yield common.with_columns(part, kept, score=s, predicted=(s >= threshold).astype(np.int32))
 
     held = F.coalesce(samples.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     kept = ["doc_id", "held_out", *(f"_keep_{c}" for c in keep)]
     rows = docs.select("doc_id", held, F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields) + ", score double, predicted int"
-    out = rows.mapInPandas(apply, schema)
+    out = rows.mapInArrow(apply, schema)
     return out.select("doc_id", "held_out", "score", "predicted", *(F.col(f"_keep_{c}").alias(c) for c in keep))
 
 
