@@ -5,8 +5,9 @@ A conversation is rendered turn by turn as
     <s>ROLE newline TEXT</s>                       user turns: <s>user newline [INST] TEXT [/INST]</s>
 
 and read back by a parser that splits at `<s>` and `</s>`, takes the role up to the first newline and undoes escapes.
-First the plain text is rendered and reparsed. Where the turns that come back are not the ones that went in, the
-content is escaped, and the round trip has to give the same turns or the query fails.
+First the plain text is rendered and reparsed. Where the turns that come back are not the ones that went in, or a role
+or text holds a control string or its escaped form, the content is escaped, and the round trip has to give the same turns
+or the query fails.
 
 The escape adds a backslash after the first character of a control string, and one more to a control string that has
 some already: `</s>` becomes `<\\/s>`, and `<\\/s>` becomes `<\\\\/s>`. Undoing takes one away. So every text has exactly one
@@ -88,13 +89,15 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     conversations: conv_id, turn, role, text; other columns are not used. Turns go by turn, then role, then text, so
     that ties and repeated rows have a fixed order; null turns come first. Null roles and texts are empty; a null
     conv_id is a conversation of its own. A conversation is one row of the output, so its turns meet in one task; all
-    else is done turn by turn before."""
+    else is done turn by turn before. Texts count whole, however long; an empty table gives no rows."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     df = grouped.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     df = df.withColumn("plain", render(F.col("turns")))
-    df = df.withColumn("escaped", ~F.coalesce(parse(F.col("plain")).eqNullSafe(F.col("turns")), F.lit(False)))
+    same = F.coalesce(parse(F.col("plain")).eqNullSafe(F.col("turns")), F.lit(False))
+    conflict = F.exists("turns", lambda t: (escape_role(t["role"]) != t["role"]) | (escape_text(t["text"]) != t["text"]))
+    df = df.withColumn("escaped", conflict | ~same)
     safe = F.transform("turns", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape_text(t["text"]).alias("text")))
     df = df.withColumn("formatted", F.when(F.col("escaped"), render(safe)).otherwise(F.col("plain")))
     held = F.when(~F.col("escaped") | parse(F.col("formatted")).eqNullSafe(F.col("turns")), F.col("formatted"))

@@ -13,10 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 BLOCK = 4096
 #: Sample rates coded by number in frame headers (fixed values): 8 = 32 kHz.
 RATE, RATE_CODE, BITS = 32000, 8, 8
@@ -466,7 +468,7 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(streams)
     for i, (s, (_, _, _, _, points, begin)) in enumerate(zip(streams, heads, strict=True)):
         points = [q for q in points if q[0] != (1 << 64) - 1]
-        if not points:
+        if sum(q[2] for q in points) != heads[i][2]:  # not a point for every frame
             out[i] = _decode_in_order(s, heads[i])
         else:
             offsets = [begin + q[1] for q in points]
@@ -493,9 +495,13 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         for i, rows in enumerate(parts):
             if rows:
                 out[i] = np.concatenate(rows)
-    for samples, (_, _, total, _, _, _) in zip(out, heads, strict=True):
+    for samples, (bits, _, total, md5, _, _) in zip(out, heads, strict=True):
         if len(samples) != total:
             raise Broken("number of samples")
+        kind = "<i1" if bits <= 8 else "<i2" if bits <= 16 else "<i4"  # 24-bit samples are three bytes of these
+        raw = samples.astype(kind).tobytes() if bits <= 16 or bits > 24 else samples.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        if any(md5) and hashlib.md5(raw, usedforsecurity=False).digest() != md5:  # all zeros: none was stored
+            raise Broken("MD5")
     return out
 
 
@@ -534,30 +540,35 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text as a FLAC stream of its UTF-8 bytes, with zeros up to a positive multiple of
     64. Null is as empty."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            payloads = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            payloads = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             sizes = [len(p) for p in payloads]
             for part in _groups(sizes):
                 padded = [p + b"\0" * (-len(p) % 64 if p else 64) for p in payloads[part]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64"), "n_bytes": sizes[part], "media": encode(padded)})
+                yield common.with_columns(batch.slice(part.start, part.stop - part.start), ["doc_id"], n_bytes=pa.array(sizes[part], pa.int64()), media=pa.array(encode(padded), pa.binary()))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(write, "doc_id long, n_bytes long, media binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(write, "doc_id long, n_bytes long, media binary")
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]:
+    """Rows of a media column with their streams and samples, a bounded number of bytes at a time."""
+    for batch in common.slices(batches):
+        stored = batch.column("media").to_pylist()
+        for part in _groups([len(m) for m in stored]):
+            yield batch.slice(part.start, part.stop - part.start), stored[part], decode(stored[part])
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """The decoded 8-bit blocks of a media column: doc_id, sample_offset, and pcm as unsigned bytes."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _groups([len(m) for m in batch["media"]]):
-                rows = []
-                for doc_id, x in zip(batch["doc_id"].iloc[part], decode(list(batch["media"].iloc[part])), strict=True):
-                    pcm = (x + 128).astype(np.uint8).tobytes()
-                    rows += [(doc_id, a, pcm[a : a + BLOCK]) for a in range(0, len(pcm), BLOCK)]
-                yield pd.DataFrame(rows, columns=["doc_id", "sample_offset", "pcm"]).astype({"doc_id": "Int64"})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, samples in _decoded(batches):
+            pcm = [(x + 128).astype(np.uint8).tobytes() for x in samples]
+            times = np.array([-(-len(p) // BLOCK) for p in pcm], np.int64)
+            yield common.repeat_rows(batch, ["doc_id"], times, sample_offset=pa.array([a for p in pcm for a in range(0, len(p), BLOCK)], pa.int64()), pcm=pa.array([p[a : a + BLOCK] for p in pcm for a in range(0, len(p), BLOCK)], pa.binary()))
 
-    return media.select("doc_id", "media").mapInPandas(read, "doc_id long, sample_offset long, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(read, "doc_id long, sample_offset long, pcm binary")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -566,16 +577,15 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def media_digest(media: DataFrame) -> DataFrame:
     """Per stored stream, read back: sizes, digests, and as feature the mean, root mean square and zero crossings."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            stored = list(batch["media"])
-            for part in _groups([len(m) for m in stored]):
-                rows = []
-                for doc_id, n, m, x in zip(batch["doc_id"].iloc[part], batch["n_bytes"].iloc[part], stored[part], decode(stored[part]), strict=True):
-                    pcm = (x + 128).astype(np.uint8).tobytes()
-                    crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
-                    feature = f"mean={int(x.sum()) / len(x):.6f};rms={(int((x * x).sum()) / len(x)) ** 0.5:.6f};crossings={crossings}"
-                    rows.append((doc_id, n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")]).astype({"doc_id": "Int64"})
-
-    return media.mapInPandas(read, DIGEST)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, stored, decoded in _decoded(batches):
+            rows = []
+            for m, x in zip(stored, decoded, strict=True):
+                pcm = (x + 128).astype(np.uint8).tobytes()
+                crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
+                feature = f"mean={int(x.sum()) / len(x):.6f};rms={(int((x * x).sum()) / len(x)) ** 0.5:.6f};crossings={crossings}"
+                rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+            names = [c.split()[0] for c in DIGEST.split(", ")][2:]
+            yield common.with_columns(batch, ["doc_id", "n_bytes"], **dict(zip(names, map(pa.array, zip(*rows, strict=True)), strict=True)))
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, DIGEST)

@@ -11,7 +11,8 @@ by their rank within their length:
 3. The actual documents take the places of their group's size, so what was rounded up becomes room.
 4. What is left over and the small documents go best-fit decreasing into the fullest sequence that has room.
 
-Nulls and empty texts are a single end-of-text token; equal rows are packed one by one; an empty table gives no rows.
+Nulls and empty texts are a single end-of-text token; equal rows are packed one by one; texts count whole, however long;
+other columns of documents are not used; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,9 @@ from . import common
 CAPACITY = 2048
 #: Distinct pieces of text between spaces whose ids a Python worker keeps.
 KNOWN = 600_000
-#: Shards of a length within which documents are ranked, so that no length is one task.
-SHARDS = 256
+#: Shards of a length within which documents are ranked, so that no length is one task: so many at least, and more where
+#: a shard would have more rows.
+SHARDS, SHARD_ROWS = 256, 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -75,26 +77,29 @@ _ids: dict[tuple, _Ids] = {}
 def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, special: str = "<|endoftext|>") -> DataFrame:
     """Each document's ids and a 0, cut from its end into pieces of `capacity` tokens; the first piece may be shorter."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         key = (tokenizer, special)
         if key not in _ids:
             _ids[key] = _Ids(public_tokenizers.path(f"{tokenizer}.json"), public_tokenizers.path(f"{tokenizer}.tiktoken"), public_tokenizers.PATTERN, special)
         ids_of = _ids[key].of
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for batch in common.slices(batches):
+            rows, times = [], []
+            for text in batch.column("text").to_pylist():
                 ids = (ids_of(text) if text else b"") + b"\0\0\0\0"
                 n = len(ids) // 4
                 end = n % capacity or capacity
                 start = 0
-                for k in range(-(-n // capacity)):
-                    rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                times.append(-(-n // capacity))
+                for k in range(times[-1]):
+                    rows.append((k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
                     start, end = end, end + capacity
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            if rows:
+                k, start, length, crc = zip(*rows, strict=True)
+                yield common.repeat_rows(batch, ["doc_id"], np.array(times), piece=pa.array(k, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
 # --- the plan ---------------------------------------------------------------------------------------------------------
@@ -270,25 +275,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 256, shards:
 
     from pyspark.sql import Window
 
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    shards = max(shards, -(-max(counts.values(), default=0) // SHARD_ROWS))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", *(c for c in ("ids_crc32",) if c in pieces.columns)), F.lit(shards)).cast("int"))
     before = dealt.groupBy("length", "_shard").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = dealt.join(before.select("length", "_shard", F.coalesce("_before", F.lit(0)).alias("_before")), ["length", "_shard"]).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "piece")) - 1)
     kept = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, sequences, offsets = shared.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch["_rank"].to_numpy(np.int64)
-            sequence, offset = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
+            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for n in np.unique(length):
                 own = length == n
                 run = np.searchsorted(starts[n], rank[own], "right") - 1
                 sequence[own] = sequences[n][run] + rank[own] - starts[n][run]
                 offset[own] = offsets[n][run]
-            yield batch[kept].assign(sequence_id=sequence, offset=offset)
+            yield common.with_columns(batch, kept, sequence_id=sequence, offset=offset)
 
-    return ranked.select(*kept, "_rank").mapInPandas(place, schema)
+    return ranked.select(*kept, F.col("_rank").cast("long").alias("_rank")).mapInArrow(place, schema)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY) -> DataFrame:
