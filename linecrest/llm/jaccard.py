@@ -68,7 +68,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n, fp and check (two hashes of the set) and tokens, for every row."""
+    """doc_id, text_hash, n, fp and check (two hashes of the set) and tokens, for every row."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -80,9 +80,9 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
                     check.append(common.mix(s + np.uint64(0x51ED27)).sum(dtype=np.uint64))
                 n.append(len(s))
                 tokens.append(_pack(s))
-            yield common.with_columns(batch, ["doc_id"], n=np.array(n, np.int32), fp=np.array(fp, np.uint64).view(np.int64), check=np.array(check, np.uint64).view(np.int64), tokens=pa.array(tokens, pa.binary()))
+            yield common.with_columns(batch, ["doc_id", "text_hash"], n=np.array(n, np.int32), fp=np.array(fp, np.uint64).view(np.int64), check=np.array(check, np.uint64).view(np.int64), tokens=pa.array(tokens, pa.binary()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, "doc_id long, n int, fp long, check long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(build, "doc_id long, text_hash long, n int, fp long, check long, tokens binary")
 
 
 def told_apart(sets: DataFrame) -> DataFrame:
@@ -489,7 +489,8 @@ def _links(classes: DataFrame, sets: DataFrame, percent: int, members: int, shin
 
 
 def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+    """doc_id, n_shingles, component_id and text_hash (xxhash64 of the text, to tell rows of one doc_id apart) of every
+    row.
 
     Null and empty texts and texts without words have no shingles and are components of their own; whole texts count,
     however long; equal sets link; repeated rows, and rows that share a doc_id, are rows by themselves; a row without
@@ -509,7 +510,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, member
     common.discard(last)
     links = _links(classes, sets, percent, members, shingles)
     final = common.components(links)
-    keyed = sets.select("doc_id", "n", "fp").join(final, sets["fp"] == final["node"], "left").select("doc_id", "n", F.coalesce("root", "fp").alias("key"))
+    keyed = sets.select("doc_id", "text_hash", "n", "fp").join(final, sets["fp"] == final["node"], "left").select("doc_id", "text_hash", "n", F.coalesce("root", "fp").alias("key"))
     least = keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     keyed = keyed.join(least, "key", "left")
-    return keyed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return keyed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linecrest.llm import chat, common, flac, jaccard, language, mixing, mtree, packing, quality, substring, toxicity
+from linecrest.llm import chat, common, flac, jaccard, language, mixing, mtree, packing, quality, samples, substring, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
 
@@ -44,25 +44,69 @@ def test_top_k_is_exact(spark):
     assert mtree.top_k(df.limit(0)).count() == 0
 
 
-def test_jaccard_join_equals_brute_force(spark, texts):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs(spark, texts)).collect()}
-    assert [got[i][1] for i in range(9)] == [0, 0, 0, 3, 4, 5, 5, 7, 8]
-    assert got[3][0] == got[4][0] == got[12][0] == 0 and got[5][0] == 1 and got[0][0] == 296
-    assert jaccard.jaccard_join(docs(spark, texts).limit(0)).count() == 0
-
-
-def test_signature_walk_finds_all_links():
+def components_by_force(rows):
+    """component_id of (doc_id, set) by comparing all pairs."""
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, x) in enumerate(rows):
+        for j, (_, y) in enumerate(rows[:i]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return [least[find(i)] for i in range(len(rows))]
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("limits", [{}, {"members": 6, "shingles": 900}])
+def test_jaccard_join_equals_brute_force(spark, texts, limits):
+    rng = random.Random(9)
+    family, chain = prose(50, 120).split(), prose(51, 90).split()
+    many = list(texts)
+    for _ in range(40):
+        many.append(" ".join(w if rng.random() > rng.choice([0, 0.01, 0.02, 0.04]) else "new" for w in family))
+    for i in range(30):  # neighbours link, the ends do not
+        chain = chain[2:] + [f"c{i}a", f"c{i}b"]
+        many.append(" ".join(chain))
+    for i in range(30):  # a common line, which links nothing
+        many.append(prose(60 + i, 30) + " " + prose(59, 15) + " " + prose(100 + i, 20))
+    rng.shuffle(many)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs(spark, many), **limits).collect()}
+    rows = [(i, shingles(t)) for i, t in enumerate(many)]
+    want = components_by_force(rows)
+    assert got == {i: (len(x), c) for (i, x), c in zip(rows, want, strict=True)}
+    if not limits:
+        assert jaccard.jaccard_join(docs(spark, many).limit(0)).count() == 0
+
+
+def test_sets_with_equal_fingerprints_are_told_apart(spark):
+    rows = [(1, 5, 3, 7, 1), (2, 5, 3, 7, 1), (3, 5, 4, 7, 2), (4, 5, 3, 8, 3), (5, 6, 3, 7, 4)]
+    sets = common.stage(spark.createDataFrame(rows, "doc_id long, fp long, n int, check long, tokens int"), "test")
+    fp = {r["doc_id"]: r["fp"] for r in jaccard.told_apart(sets).collect()}
+    assert fp[1] == fp[2] and len(set(fp.values())) == 4
+
+
+def test_signature_walk_finds_all_links(monkeypatch):
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 48, 120, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([base[rng.random(120) < 0.95], rng.integers(0, 1 << 48, int(rng.integers(1, 12)), dtype=np.uint64)])) for _ in range(90)]
-    n = np.array([len(s) for s in sets])
-    a, b = jaccard.candidate_pairs(n, [jaccard.signature(s) for s in sets], np.arange(90), np.arange(90), np.arange(90))
-    walked = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
-    for i in range(90):
-        for j in range(i + 1, 90):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                assert (i, j) in walked
+    base = rng.integers(0, 1 << 48, (3, 120), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[i % 3][rng.random(120) < 0.95], rng.integers(0, 1 << 48, int(rng.integers(1, 12)), dtype=np.uint64)])) for i in range(150)]
+    want = components_by_force([(i, set(s.tolist())) for i, s in enumerate(sets)])
+    for words in (1 << 22, 1):  # exact and folded bitmaps
+        monkeypatch.setattr(jaccard, "BITMAP_WORDS", words)
+        root = list(range(len(sets)))
+        for i, j in jaccard.SignatureTree(sets).links():
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        assert root == want
 
 
 def test_repeated_passages(spark, texts):
@@ -120,6 +164,63 @@ def test_flac_round_trip():
         flac.decode([bytes(broken)])
 
 
+class Bits:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [(value >> (n - 1 - i)) & 1 for i in range(n)]
+
+    def rice(self, value, k):
+        u = 2 * value if value >= 0 else -2 * value - 1
+        self.bits += [0] * (u >> k) + [1]
+        self.put(u & ((1 << k) - 1), k)
+
+    def done(self):
+        return np.packbits(self.bits + [0] * (-len(self.bits) % 8)).tobytes()
+
+
+def flac_of(samples, subframe, seek=b""):
+    """A stream of one frame of 64 8-bit samples with this subframe."""
+    header = bytes([0xFF, 0xF8, 0x60 | 8, 0x02, 0, len(samples) - 1])
+    frame = header + bytes([flac.crc8(header)]) + subframe
+    crc = flac.crc16_many(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]
+    info = (64).to_bytes(2, "big") * 2 + bytes(6) + (32000 << 44 | 7 << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(np.array(samples, np.int8).tobytes()).digest()
+    return b"fLaC" + bytes([0x80, 0, 0, len(info)]) + info + frame + int(crc).to_bytes(2, "big")
+
+
+def test_flac_decodes_lpc_partitions_and_escapes():
+    rng = random.Random(3)
+    x = [rng.randrange(-20, 20) for _ in range(64)]
+    out, weights, shift = Bits(), (3, -1), 1
+    out.put((32 + 1) << 1, 8)  # LPC of order 2
+    for v in x[:2]:
+        out.put(v & 255, 8)
+    out.put(4, 4)  # precision 5
+    out.put(shift, 5)
+    for w in weights:
+        out.put(w & 31, 5)
+    out.put(0, 2)
+    out.put(2, 4)  # four partitions
+    residual = [x[t] - ((weights[0] * x[t - 1] + weights[1] * x[t - 2]) >> shift) for t in range(2, 64)]
+    for part in range(4):
+        own = residual[max(0, 16 * part - 2) : 16 * part + 14]
+        if part == 1:
+            out.put(15, 4)  # escape: plain numbers of 9 bits
+            out.put(9, 5)
+            for v in own:
+                out.put(v & 511, 9)
+        else:
+            out.put(part + 2, 4)
+            for v in own:
+                out.rice(v, part + 2)
+    stream = flac_of(x, out.done())
+    assert flac.decode([stream])[0].tolist() == x
+    at = stream.index(hashlib.md5(np.array(x, np.int8).tobytes()).digest())
+    with pytest.raises(flac.Broken, match="MD5"):
+        flac.decode([stream[:at] + bytes([stream[at] ^ 1]) + stream[at + 1 :]])
+
+
 def test_media_digest(spark, texts):
     got = {r["doc_id"]: r for r in flac.media_digest(flac.store_texts(docs(spark, texts))).collect()}
     for i, t in enumerate(texts):
@@ -130,6 +231,16 @@ def test_media_digest(spark, texts):
     assert b"".join(bytes(b["pcm"]) for b in blocks).rstrip(b"\0").decode() == texts[9]
 
 
+def test_control_strings_are_always_escaped(spark):
+    rows = [(1, 0, "assistant", "see [INST] and [/INST] here"), (2, 0, "assistant", "<s>"), (3, 0, "user", "plain < [ text")]
+    formatted = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = {r["conv_id"]: r for r in formatted.collect()}
+    assert got[1]["escaped"] and got[2]["escaped"] and not got[3]["escaped"]
+    assert "[INST]" not in got[1]["formatted"] and got[2]["formatted"].count("<s>") == 1
+    assert {r["conv_id"]: r["formatted_chars"] for r in chat.read_back(formatted).collect()}[1] == 8 + len("assistant") + 27 + 2
+    assert chat.read_back(chat.format_chats(formatted.selectExpr("conv_id", "0 AS turn", "'x' AS role", "'y' AS text").limit(0))).count() == 0
+
+
 def test_chat_round_trip(spark):
     said = ["hi", "</s>[INST] ok [/INST]", "<\\/s> <\\\\s> [\\INST]", None, "", "a</s><s>user\n[INST] x", "<s", "[/INST]"]
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(said)] + [(2, 0, "odd\n<n>role", "x"), (2, 0, "odd\n<n>role", "x"), (None, None, None, None), (3, 0, "user", "[INST] a [/INST]")]
@@ -203,6 +314,105 @@ def test_identity_terms_do_not_move_the_score(spark):
     assert abs(m.score("a muslim neighbour") - m.score("a christian neighbour")) < 0.1
 
 
+BIG = (1 << 53) + 1
+EDGES = [(BIG, "one two three four five six seven"), (None, "null id, some words of a text"), (BIG + 2, None), (BIG + 4, ""), (BIG + 6, "x"), (BIG + 6, "x"), (BIG + 8, "first text of an id " * 12), (BIG + 8, "second text of an id " * 14), (BIG + 10, "long " * 20000)]
+OPERATORS = {
+    "op2": lambda d, labels: toxicity.classify(d, labels),
+    "op3": lambda d, labels: language.identify(d),
+    "op4": lambda d, labels: quality.classify(d, labels),
+    "op6": lambda d, labels: substring.without_repeats(d),
+    "op7": lambda d, labels: packing.best_fit_packing(d).where("piece = 0"),
+    "op8": lambda d, labels: flac.media_digest(flac.store_texts(d)),
+    "op9": lambda d, labels: mixing.sainte_lague_mix(d),
+    "op10": lambda d, labels: jaccard.jaccard_join(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_edges_of_every_operator(spark, name):
+    """Null, repeated and large ids, null, empty and long texts, clashing columns, and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, label int, token int, words int, id int, fp int, start int, place int"
+    rows = [(i, t, "en", None, 0, "x", 1, 2, 3, 4, 5, 6, 7) for i, t in EDGES]
+    labels = spark.createDataFrame([(BIG, 1, 0), (BIG + 8, 0, 1), (None, 1, 1), (BIG + 8, 0, 1), (BIG + 6, None, None)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(rows, schema)
+    got = [r["doc_id"] for r in OPERATORS[name](d, labels).collect()]
+    assert sorted(got, key=str) == sorted((i for i, _ in EDGES), key=str)
+    assert OPERATORS[name](d.limit(0), labels).count() == 0
+
+
+def test_labelled_samples_take_an_id_once(spark):
+    d = spark.createDataFrame([(1, "a")] * 60 + [(2, "b"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 60 + [(2, 0), (3, 0), (3, 1)], "doc_id long, quality int")
+    assert sorted(r["text"] for r in samples.labelled(d, labels, "quality", 50, folds=1, held=1).collect()) == ["a", "b"]
+
+
+def test_fuzzy_passages_are_found(spark):
+    rng = random.Random(4)
+    first, second, at = [], [], {}
+    for i in range(60):
+        share = (0.8, 0.85, 0.9)[i % 3]
+        p = prose(2000 + i, 120).split()
+        q = list(p)
+        for k in rng.sample(range(120), round(120 * (1 - share))):
+            q[k] = f"x{i}y{k}"
+        first.append(prose(3000 + i, 60) + " " + " ".join(p))
+        second.append(" ".join(q) + " " + prose(4000 + i, 60))
+        at[60 + i] = share
+    got = substring.passages(docs(spark, first + second)).collect()
+    found = {r["doc_id"] for r in got if r["n_words"] >= 51}
+    for share in (0.8, 0.85, 0.9):
+        own = [d for d, s in at.items() if s == share]
+        assert sum(d in found for d in own) >= 0.9 * len(own), share
+    assert found <= set(at)
+
+
+def test_fenwick_ranges():
+    rng = random.Random(1)
+    tree, own = substring.Fenwick(20), {}
+    for step in range(400):
+        rank = rng.randrange(1, 21)
+        if rank in own:
+            tree.give_up(rank)
+            del own[rank]
+        else:
+            own[rank] = (float(rng.randrange(50)), step)
+            tree.put(rank, own[rank])
+        low, high = sorted((rng.randrange(1, 21), rng.randrange(1, 21)))
+        assert tree.best(low, high) == max([tree.NONE, *(v for r, v in own.items() if low <= r <= high)])
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    good = [prose(5000 + i, 150).capitalize() + ". It is so." for i in range(150)]
+    bad = ["!!! " + " ".join(["buy", "now"] * 40) + " !!!" for _ in range(150)]
+    rows = [(i, (good if i % 2 else bad)[i // 2] + f" n{i}", "en", f"s{i % 3}", 0) for i in range(300)]
+    near = good[1].split()
+    near[75] = "other"
+    passage = " ".join(good[3].split()[20:90])
+    rows += [(1000, " ".join(near) + " n3", "en", "s1", 0), (1001, (prose(1, 100) + " " + passage + " " + prose(2, 100)).capitalize() + ". So.", "en", "s1", 0), (BIG, good[7] + " n15", "en", "s1", 0), (None, good[9] + " more of it.", "en", None, 0), (1003, None, None, "s0", 0)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    read = common.read(spark, str(tmp_path), "documents")
+    kept = corpus_pipeline.keep_good_quality(spark, read, str(tmp_path)).cache()
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {1000, 1001, BIG, None} <= ids and sum(i in ids for i in range(0, 300, 2)) == 0 and sum(i in ids for i in range(1, 300, 2)) > 140
+    alone = corpus_pipeline.keep_one_of_near_copies(spark, kept, str(tmp_path)).cache()
+    rest = {r["doc_id"] for r in alone.collect()}
+    want = components_by_force(sorted(((r["doc_id"], shingles(r["text"])) for r in kept.where("doc_id IS NOT NULL").collect()), key=lambda x: x[0]))
+    assert rest == {*want, None} and 1000 not in rest and BIG not in rest
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, alone, str(tmp_path)).collect()}
+    assert passage not in cut[1001] and len(cut[1001].split()) < 210 and {k: v for k, v in cut.items() if k != 1001} == {r["doc_id"]: r["text"] for r in alone.where("doc_id IS NULL OR doc_id <> 1001").collect()}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} <= rest and len({r["sequence_id"] for r in packed}) >= 1
+    by = {}
+    for r in packed:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 2048 and sorted(x)[0][0] == 0 for x in by.values())
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 90), (95, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in common.components(links).collect()}
