@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -36,9 +37,32 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+#: Tables staged within each open scratch().
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What is staged within is deleted at the end, but for tables that hold() names: for steps whose result is staged."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        discard(*_scratch.pop())
+
+
+def hold(table: DataFrame) -> DataFrame:
+    """A table staged within scratch() that stays."""
+    for tables in _scratch:
+        tables[:] = [t for t in tables if t is not table]
+    return table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for table in tables:

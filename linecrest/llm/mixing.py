@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The characters that end a word are space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -77,11 +79,12 @@ def sainte_lague_mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] =
     sources = base.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_rows"))
     goals = targets(sources.select("source", "source_size"), weights, most).alias("g")
     facts = sources.alias("s").join(goals, F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "s._rows", "g.source_size", "g.target", "g.total").withColumn("_shards", F.ceil(F.col("_rows") / SHARD_ROWS)).drop("_rows")
-    rows = base.alias("d").join(facts.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source"))).select("d.*", "f.source_size", "f.target", "f.total", "f._shards")
+    facts = common.stage(facts, "sources")  # broadcast if few, since a shuffle of documents by source would gather a hot source
+    rows = base.alias("d").join(common.small(facts).alias("f"), F.col("d.source").eqNullSafe(F.col("f.source"))).select("d.*", "f.source_size", "f.target", "f.total", "f._shards")
     rows = rows.withColumn("shard", (F.conv(F.substring(_seeded(seed, "shard"), 1, 8), 16, 10).cast("long") % F.col("_shards")).cast("long"))
     cells = rows.groupBy("source", "shard").agg(F.sum("_size").alias("cell_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("total").alias("total"))
-    quota = quotas(cells).select("source", "shard", "cell_size", (F.col("quota") * F.col("block_size")).alias("_words")).alias("q")
-    rows = rows.alias("r").join(quota, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard"))).select("r.*", "q.cell_size", F.least("q._words", F.col("q.cell_size") * most).alias("_words"))
+    quota = common.stage(quotas(cells).select("source", "shard", "cell_size", (F.col("quota") * F.col("block_size")).alias("_words")), "quotas")
+    rows = rows.alias("r").join(common.small(quota).alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.shard") == F.col("q.shard"))).select("r.*", "q.cell_size", F.least("q._words", F.col("q.cell_size") * most).alias("_words"))
     order = Window.partitionBy("source", "shard").orderBy(_seeded(seed, "order"), F.col("doc_id").asc_nulls_last(), "_size")
     rows = rows.withColumn("_end", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rounds = F.floor(F.col("_words") / F.greatest(F.col("cell_size"), F.lit(1)))
