@@ -23,12 +23,14 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of the n-gram Jaccard join; of several rows of that doc_id
     in one component the text with the least hash, and one of equal rows. Rows without doc_id or without words stay."""
-    joined = common.stage(jaccard.jaccard_join(docs).where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "component_id", "text_hash"), "near-copies")
-    first = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("_first"))
-    gone = joined.join(first, "doc_id", "left").where("doc_id <> component_id OR text_hash <> _first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
-    gone = common.stage(gone, "gone")
+    with common.scratch():
+        joined = common.stage(jaccard.jaccard_join(docs).where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "component_id", "text_hash"), "near-copies")
+        first = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("_first"))
+        gone = joined.join(first, "doc_id", "left").where("doc_id <> component_id OR text_hash <> _first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+        gone = common.hold(common.stage(gone, "gone"))
+        repeated = joined.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"), F.col("text_hash").alias("_again_text"))
+        repeated = common.hold(common.stage(repeated, "repeated"))
     kept = docs.join(common.small(gone), (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_gone_text"]), "left_anti")
-    repeated = common.stage(joined.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"), F.col("text_hash").alias("_again_text")), "repeated")
     if repeated.isEmpty():
         return kept
     marked = kept.join(common.small(repeated), (kept["doc_id"].cast("long") == repeated["_again"]) & (F.xxhash64(kept["text"].cast("string")) == repeated["_again_text"]), "left")
