@@ -47,18 +47,53 @@ def test_window_of_450_feet(spark):
         Reconstruction(max_span_slices=8)
 
 
-def test_fragments_between_two_poles_make_a_span():
+def test_fragments_between_two_poles_make_a_span(spark):
     rng = np.random.default_rng(0)
 
     def line(seq, a, b):
         x = np.linspace(a, b, 12)
-        return R.Fragment(f"L{seq}", seq, 0.9, np.column_stack([x, rng.normal(0, 0.02, 12), 20 + (x - 100) ** 2 / 1e4]))
+        z = 20 + (x - 100) ** 2 / 1e4
+        return [("g", seq, "vertex", f"L{seq}", i, float(x[i]), float(rng.normal(0, 0.02)), float(z[i]), None, None, None, 0.9) for i in range(12)]
 
-    pole = lambda x, s: {"base": np.array([x, 0.0, 0.0]), "top": np.array([x, 0.0, 21.0]), "height": 21.0, "seq": s}
-    frags = [line(1, 5, 45), line(2, 52, 95), line(3, 103, 147), line(4, 155, 195)]
-    out = R.reconstruct_window([pole(0.0, 1), pole(200.0, 4), pole(200.5, 4)], frags, {1: np.array([25.0, 0.0])})
+    pole = lambda x, s: ("g", s, "pole", f"P{x}", 0, x, 0.0, 0.0, x, 0.0, 21.0, 21.0)
+    rows = [*line(1, 5, 45), *line(2, 52, 95), *line(3, 103, 147), *line(4, 155, 195), pole(0.0, 1), pole(200.0, 4), pole(200.5, 4), ("g", 1, "center", "", 0, 25.0, 0.0, 0.0, None, None, None, 0.0)]
+    out = R.reconstruct(spark.createDataFrame(rows, R.OBJECTS), spark.createDataFrame([("g", 4)], "group_id string, slice_seq long")).collect()[0]
     assert len(out["poles"]) == 2 and [c["chain_type"] for c in out["chains"]] == ["SPAN"]
     assert out["chains"][0]["fragments"] == ["L1", "L2", "L3", "L4"] and len(out["joins"]) == 3
+    assert [q["slices"] for q in out["poles"]] == [[1], [4]] and out["poles"][1]["x"] == 200.25
+
+
+def test_tracks_far_apart_are_completed_to_a_span():
+    line = lambda k, a, b: {"frags": [k], "joins": [], "raw": np.column_stack([np.linspace(a, b, 10), np.zeros(10), np.full(10, 20.0)]), "evidence": 1.0, "start": None, "end": None, "completed": 1}
+    pole = lambda x: {"xy": np.array([x, 0.0]), "base_z": 0.0, "baseline": 21.0, "high": 25.0}
+    frags = [R.Fragment(f"L{k}", k, 0.9, np.zeros((2, 3))) for k in range(3)]
+    tracks, paths = R.complete_spans([line(0, 4, 70), line(1, 110, 190), line(2, 300, 390)], [pole(0.0), pole(200.0)], frags)
+    assert [c["tracks"] for c in paths] == [[0, 1]] and sorted(t["completed"] for t in tracks) == [1, 2]
+    assert paths[0]["max_gap_ft"] == 40.0
+
+
+def test_robust_polynomials_ignore_far_points():
+    s = np.linspace(0, 50, 26)
+    y = 3 + 0.5 * s - 0.01 * s**2
+    y2 = y.copy()
+    y2[7] += 40
+    bent, straight, flat = R.robust_polynomials([s, s[:9], np.zeros(3)], [y2, 2 * s[:9] - 1, np.array([1.0, 5.0, 2.0])], [2, 1, 1])
+    assert np.abs(bent(s) - y).max() < 0.02 and np.abs(straight(s[:9]) - 2 * s[:9] + 1).max() < 1e-9 and flat(7.0) == 2.0
+
+
+def test_ends_get_the_pole_that_nearest_pole_gives(spark):
+    rng = np.random.default_rng(3)
+    tips = np.column_stack([rng.uniform(0, 60, (40, 2)), rng.uniform(5, 60, 40)])
+    out = rng.normal(size=(40, 2))
+    out /= np.linalg.norm(out, axis=1)[:, None]
+    poles = [{"xy": rng.uniform(0, 60, 2), "base_z": float(z), "baseline": 25.0, "high": 33.0} for z in rng.uniform(0, 6, 8)]
+    ends = spark.createDataFrame([("g", i, 0, *map(float, t), *map(float, o)) for i, (t, o) in enumerate(zip(tips, out, strict=True))], "group_id string, track int, end int, x double, y double, z double, tx double, ty double")
+    table = spark.createDataFrame([("g", k, float(q["xy"][0]), float(q["xy"][1]), q["base_z"], 25.0, 33.0) for k, q in enumerate(poles)], "group_id string, pole int, world_x_ft double, world_y_ft double, base_z_ft double, baseline_height_ft double, max_height_ft double")
+    want = {r["track"]: r["pole"] for r in R.nearest_pole(ends, table).collect()}
+    got = R.nearest_poles(tips, out, poles)
+    assert want == {i: g["pole"] for i, g in enumerate(got) if g} and 5 < len(want) < 40
+    first = next(iter(want))
+    assert (R.nearest_poles(tips[first][None], out[first][None], poles, barred=[want[first]])[0] or {"pole": None})["pole"] != want[first]
 
 
 def test_crossing_line_is_seen():
