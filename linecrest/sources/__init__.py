@@ -1 +1 @@
-"""Readers and writers of stage tables."""
+"""Readers and writers: trees of slice files, audited objects, artifacts of stages, manifests."""
