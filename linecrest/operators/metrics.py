@@ -104,19 +104,40 @@ def timing_stats(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ())
     return long.groupBy(*keys, "metric").agg(F.count("ms").alias("n"), F.avg("ms").alias("mean"), quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), F.min("ms").alias("min"), F.max("ms").alias("max"), F.sum("ms").alias("total"))
 
 
+def _running(each: DataFrame, columns: list[str], bins: int = 1024) -> DataFrame:
+    """each (threshold, distinct, mostly within 0 and 1) with above_<column>, the sum of a column at and above the
+    threshold, and all_<column>. Sums run within bins of thresholds, then over the bins, so that no task has them all."""
+    binned = each.withColumn("_bin", F.floor(C.clamp(F.col("threshold")) * bins))
+    down = Window.partitionBy("_bin").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    totals = binned.groupBy("_bin").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    higher = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_bin", *(F.coalesce(F.sum(f"_{c}").over(higher), F.lit(0)).alias(f"_{c}") for c in columns), *(F.sum(f"_{c}").over(Window.partitionBy()).alias(f"all_{c}") for c in columns))
+    met = binned.join(F.broadcast(totals), "_bin")
+    return met.select(*each.columns, *((F.sum(c).over(down) + F.col(f"_{c}")).alias(f"above_{c}") for c in columns), *(f"all_{c}" for c in columns))
+
+
 def precision_recall_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """A row per distinct score: how many are at or above it, and precision and recall there. Counts are by score first,
-    so the running sum is over distinct scores."""
+    """A row per distinct score: how many are at or above it, and precision and recall there."""
     each = df.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    df = each.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("predicted"), F.sum("pos").over(every).alias("positives"))
-    return df.select("threshold", "tp", "predicted", (F.col("tp") / F.col("predicted")).alias("precision"), (F.col("tp") / F.greatest(F.col("positives"), F.lit(1))).alias("recall"))
+    tp, n = F.col("above_pos"), F.col("above_n")
+    return _running(each, ["n", "pos"]).select("threshold", tp.alias("tp"), n.alias("predicted"), (tp / n).alias("precision"), (tp / F.greatest(F.col("all_pos"), F.lit(1))).alias("recall"))
 
 
-def average_precision(curve: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return curve.select(((F.col("recall") - before) * F.col("precision")).alias("a")).agg(F.sum("a").alias("average_precision"))
+def average_precision(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """The mean of the precision at each distinct score, weighted by the positives that have it."""
+    each = df.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    part = F.col("pos") * F.col("above_pos") / F.col("above_n") / F.greatest(F.col("all_pos"), F.lit(1))
+    return _running(each, ["n", "pos"]).agg(F.sum(part).alias("average_precision"))
+
+
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """The share of pairs of a positive and a negative in which the positive has the greater score, equal ones by half;
+    null without such pairs."""
+    y = F.col(label).cast("long")
+    each = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    below = F.col("all_neg") - F.col("above_neg") + F.col("neg") / 2
+    worth = F.col("pos") * below / F.nullif(F.col("all_pos") * F.col("all_neg"), F.lit(0))
+    return _running(each, ["pos", "neg"]).agg(F.sum(worth).alias("roc_auc"))
 
 
 def refiner_threshold(df: DataFrame, steps: int = 97, low: float = 0.02, high: float = 0.98, precision: float = 0.9, recall: float = 0.9) -> DataFrame:

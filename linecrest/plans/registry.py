@@ -13,7 +13,7 @@ from linecrest.operators import metrics as M
 from linecrest.operators import slices as S
 from linecrest.operators import spatial as P
 from linecrest.operators import voxels as V
-from linecrest.plans import stage3, views
+from linecrest.plans import operations, stage3, views
 from linecrest.plans.views import CANDIDATES, GRID, LABEL_SQL, PATHS_SQL, RAW_SQL, SCORED_SQL, SLICES_SQL, VOXELS_SQL
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,7 +199,7 @@ def refiner_pr_curve(spark, d):
 
 @query(_PR + ", r AS (SELECT threshold, tp / predicted AS p, tp / greatest(positives, 1) AS r FROM c) SELECT round(sum((r - before) * p), 6) AS average_precision FROM (SELECT *, coalesce(lag(r) OVER (ORDER BY threshold DESC), 0) AS before FROM r)")
 def refiner_average_precision(spark, d):
-    return _round(M.average_precision(M.precision_recall_curve(_judged(spark, d))))
+    return _round(M.average_precision(_judged(spark, d)))
 
 
 # --- components -------------------------------------------------------------------------------------------------------
@@ -491,8 +491,8 @@ def variant_equivalence(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _queries | stage3.queries(points)
+    return _queries | stage3.queries(points) | operations.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | stage3.oracle_sql(_POINTS)
+    return _sql | stage3.oracle_sql(_POINTS) | operations.oracle_sql()
