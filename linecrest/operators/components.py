@@ -22,39 +22,53 @@ def of_class(voxels: DataFrame, class_name: str, grid: Grid = Grid(), p: Detecti
     components count if they hold a strong voxel."""
     flagged = candidates(voxels, p)
     mask, least, score = ("pole_candidate", p.pole_min_voxels, "pole_score") if class_name == "pole" else ("line_weak", p.line_min_voxels, "line_score")
-    labelled = spatial.connected_components(flagged.where(mask), grid.x, grid.y)
-    keys = [*SLICE, "x", "y", "z"]
-    points = labelled.join(flagged.select(*keys, F.col(score).cast("float").alias("score"), "line_strong"), keys)
+    flagged = flagged.withColumn("score", F.col(score).cast("float"))
+    points = spatial.connected_components(flagged.where(mask), grid.x, grid.y, ("score", "line_strong"))
+    # one exchange by component, which aggregates by component need not repeat
+    whole = Window.partitionBy(*COMPONENT)
+    points = points.withColumn("_n", F.count("*").over(whole)).withColumn("_strong", F.bool_or("line_strong").over(whole))
     if class_name == "line":
-        points = points.join(points.where("line_strong").select(*COMPONENT).distinct(), list(COMPONENT), "left_semi")
-    large = points.groupBy(*COMPONENT).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*COMPONENT)
-    return points.drop("line_strong").join(large, list(COMPONENT), "left_semi")
+        points = points.where("_strong")
+    return points.where(F.col("_n") >= least).select(*SLICE, "x", "y", "z", "component", "score")
 
 
-def score_stats(points: DataFrame, score: str = "score") -> DataFrame:
+def _score_stats(score: str = "score") -> list[Column]:
     s = F.col(score).cast("double")
     q = lambda p: F.percentile(s, F.lit(p))
-    return points.groupBy(*COMPONENT).agg(F.count("*").alias("n_voxels"), F.avg(s).alias("score_mean"), F.stddev_pop(s).alias("score_std"), q(0.1).alias("score_p10"), q(0.5).alias("score_p50"), q(0.9).alias("score_p90"), F.max(s).alias("score_max"))
+    return [F.count("*").alias("n_voxels"), F.avg(s).alias("score_mean"), F.stddev_pop(s).alias("score_std"), q(0.1).alias("score_p10"), q(0.5).alias("score_p50"), q(0.9).alias("score_p90"), F.max(s).alias("score_max")]
 
 
-def extents(points: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """Spans in feet, share of the bounding box, and center."""
-    v = grid.voxel_ft
+def score_stats(points: DataFrame, score: str = "score") -> DataFrame:
+    return points.groupBy(*COMPONENT).agg(*_score_stats(score))
+
+
+def _extents(v: float) -> list[Column]:
     cells = {c: F.max(c) - F.min(c) + 1 for c in ("x", "y", "z")}
-    df = points.groupBy(*COMPONENT).agg(
+    return [
         *((cells[c] * v).alias(f"{c}_span_ft") for c in ("x", "y", "z")),
         (F.count("*") / (cells["x"] * cells["y"] * cells["z"])).alias("bbox_density"),
         *(F.avg(c).alias(f"center_{c}") for c in ("x", "y", "z")),
         (F.min("z") * v).cast("double").alias("min_z_ft"),
         (F.max("z") * v).cast("double").alias("max_z_ft"),
-    )
+    ]
+
+
+def _spans(df: DataFrame, v: float) -> DataFrame:
     return df.withColumn("horizontal_span_ft", F.sqrt(F.col("x_span_ft") ** 2 + F.col("y_span_ft") ** 2)).withColumn("center_z_ft", F.col("center_z") * v)
 
 
+def extents(points: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """Spans in feet, share of the bounding box, and center."""
+    return _spans(points.groupBy(*COMPONENT).agg(*_extents(grid.voxel_ft)), grid.voxel_ft)
+
+
+def _edge(grid: Grid) -> Column:
+    return F.min(F.least(F.col("x"), grid.x - 1 - F.col("x"), F.col("y"), grid.y - 1 - F.col("y"))).alias("edge_distance_vox")
+
+
 def edge_features(points: DataFrame, grid: Grid = Grid(), width: int = Detection.edge_width) -> DataFrame:
     """How near the component comes to the sides of the slice."""
-    near = F.least(F.col("x"), grid.x - 1 - F.col("x"), F.col("y"), grid.y - 1 - F.col("y"))
-    return points.groupBy(*COMPONENT).agg(F.min(near).alias("edge_distance_vox")).withColumn("touches_xy_edge", F.col("edge_distance_vox") <= width)
+    return points.groupBy(*COMPONENT).agg(_edge(grid)).withColumn("touches_xy_edge", F.col("edge_distance_vox") <= width)
 
 
 def covariance(points: DataFrame) -> DataFrame:
@@ -139,9 +153,9 @@ def strict_line_gate() -> Column:
 
 
 def features(points: DataFrame, class_name: str, grid: Grid = Grid()) -> DataFrame:
-    """All features of the components of a class, with the gate as physical_ok."""
-    keys = list(COMPONENT)
-    df = score_stats(points).join(extents(points, grid), keys).join(edge_features(points, grid), keys).join(shapes(points, grid), keys)
+    """All features of the components of a class, with the gate as physical_ok: one aggregate, and the shapes."""
+    df = _spans(points.groupBy(*COMPONENT).agg(*_score_stats(), *_extents(grid.voxel_ft), _edge(grid)), grid.voxel_ft)
+    df = df.withColumn("touches_xy_edge", F.col("edge_distance_vox") <= Detection.edge_width).join(shapes(points, grid), list(COMPONENT))
     df = df.withColumn("vertical_head_mean", F.col("principal_verticality")).withColumn("horizontal_head_mean", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("principal_verticality") ** 2)))
     df = df.withColumn("class_name", F.lit(class_name))
     df = df.withColumn("partial_pole_candidate", ((F.col("class_name") == "pole") & F.col("touches_xy_edge") & (F.col("principal_verticality") >= 0.65)).cast("int"))

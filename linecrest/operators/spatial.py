@@ -72,18 +72,19 @@ def touching_components(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarr
     return out
 
 
-def connected_components(voxels: DataFrame, grid_x: int, grid_y: int) -> DataFrame:
-    """group_id, slice_seq, x, y, z and component, the least linear key (z * gy + y) * gx + x of the voxel's component.
-    A slice is bounded by its grid, so it is a group for one task."""
+def connected_components(voxels: DataFrame, grid_x: int, grid_y: int, carried: Sequence[str] = ()) -> DataFrame:
+    """group_id, slice_seq, x, y, z, what is carried, and component, the least linear key (z * gy + y) * gx + x of the
+    voxel's component. A slice is bounded by its grid, so it is a group for one task."""
+    kept = [*SLICE, "x", "y", "z", *carried]
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, z = (pdf[c].to_numpy(np.int64) for c in ("x", "y", "z"))
         first = touching_components(x, y, z)
         key = (z * grid_y + y) * grid_x + x
-        return pdf[[*SLICE, "x", "y", "z"]].assign(component=key[first])
+        return pdf[kept].assign(component=key[first])
 
-    schema = voxels.select(*SLICE, "x", "y", "z").withColumn("component", F.lit(0).cast("long")).schema
-    return voxels.select(*SLICE, "x", "y", "z").groupBy(*SLICE).applyInPandas(label, schema)
+    schema = voxels.select(*kept).withColumn("component", F.lit(0).cast("long")).schema
+    return voxels.select(*kept).groupBy(*SLICE).applyInPandas(label, schema)
 
 
 def clusters(points: DataFrame, keys: Sequence[str], axes: Sequence[str], radius: float, order: str) -> DataFrame:
