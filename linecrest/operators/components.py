@@ -76,56 +76,98 @@ def covariance(points: DataFrame) -> DataFrame:
     return points.groupBy(*COMPONENT).agg(F.count("*").alias("n"), *(F.covar_samp(a, b).alias(f"cov_{a}{b}") for a, b in pairs)).where("n > 2").drop("n")
 
 
-def _axis(p: np.ndarray) -> np.ndarray:
-    """Leading direction of points around their median; its largest component is positive."""
-    _, _, v = np.linalg.svd(p - np.median(p, axis=0), full_matrices=False)
-    d = v[0] / max(float(np.linalg.norm(v[0])), 1e-9)
-    return d if d[np.argmax(np.abs(d))] >= 0 else -d
+class Parts:
+    """Rows of arrays in runs, one run a component; results have a row per run."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.sizes = np.asarray(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def sum(self, v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v, self.starts, axis=0)
+
+    def order(self, v: np.ndarray) -> np.ndarray:
+        """Rows by run, then value, then as they were."""
+        return np.lexsort((v, self.of))
+
+    def quantile(self, v: np.ndarray, q: float) -> np.ndarray:
+        if v.ndim == 2:
+            return np.stack([self.quantile(c, q) for c in v.T], axis=1)
+        up, at = v[self.order(v)], q * (self.sizes - 1)
+        low = np.floor(at).astype(np.int64)
+        below, above = up[self.starts + low], up[self.starts + np.minimum(low + 1, self.sizes - 1)]
+        return below + (at - low) * (above - below)
+
+    def axes(self, around: np.ndarray) -> np.ndarray:
+        """Leading directions of rows around a point; the largest component of each (the first of equal ones) is positive."""
+        d = np.linalg.eigh(self.sum(around[:, :, None] * around[:, None, :]))[1][:, :, -1]
+        top = np.take_along_axis(d, np.round(np.abs(d), 9).argmax(axis=1)[:, None], 1)
+        return np.where(top < 0, -d, d)
 
 
 #: Shape columns of a component.
 SHAPES = "principal_dx double, principal_dy double, principal_dz double, principal_verticality double, linearity double, planarity double, scattering double, radius_p50_ft double, radius_p90_ft double, xy_path_length_ft double, xy_endpoint_distance_ft double, xy_tortuosity double, quadratic_rmse_ft double, sag_estimate_ft double, endpoint1_x double, endpoint1_y double, endpoint1_z double, endpoint2_x double, endpoint2_y double, endpoint2_z double"
 
 
-def shape_of(p: np.ndarray, voxel_ft: float = 0.5) -> list[float]:
-    """The SHAPES of a component's points. The axis is that of the points around their median, linearity, planarity and
-    scattering those of the sample covariance."""
-    if len(p) < 2:
-        q = p[0] if len(p) else np.zeros(3)
-        return [0.0, 0.0, 1.0, 1.0, *[0.0] * 7, 1.0, 0.0, 0.0, *q, *q]
-    d = _axis(p)
-    e = np.maximum(np.sort(np.linalg.eigvalsh(np.cov(p.T)))[::-1], 0) if len(p) > 2 else np.zeros(3)
-    top = max(float(e[0]), 1e-9)
-    around = p - np.median(p, axis=0)
-    radial = np.linalg.norm(around - np.outer(around @ d, d), axis=1) * voxel_ft
-    along = (p[:, :2] - np.median(p[:, :2], axis=0)) @ _axis(p[:, :2])
-    line = p[np.argsort(along, kind="stable")]
-    path = float(np.linalg.norm(np.diff(line[:, :2], axis=0), axis=1).sum()) * voxel_ft
-    apart = float(np.linalg.norm(line[-1, :2] - line[0, :2])) * voxel_ft
-    rmse, sag = _sag(along * voxel_ft, p[:, 2] * voxel_ft, voxel_ft)
-    return [*d, abs(float(d[2])), (e[0] - e[1]) / top, (e[1] - e[2]) / top, e[2] / top, float(np.quantile(radial, 0.5)), float(np.quantile(radial, 0.9)), path, apart, path / max(apart, 1e-6), rmse, sag, *line[0], *line[-1]]
-
-
-def _sag(s: np.ndarray, z: np.ndarray, voxel_ft: float) -> tuple[float, float]:
-    """Error of a parabola through a wire seen from the side, and how far its middle hangs below its ends."""
-    wide = float(np.ptp(s)) if len(s) else 0.0
-    if len(s) < 6 or wide < max(2 * voxel_ft, 1e-6) or len(np.unique(np.round(s, 6))) < 3:
-        return 0.0, 0.0
-    u = (s - (s.min() + s.max()) / 2) / max(wide / 2, 1e-9)
-    m = np.vander(u, 3)
-    if not np.linalg.cond(m) < 1e8:
-        return 0.0, 0.0
-    c = np.linalg.lstsq(m, z, rcond=None)[0]
-    return float(np.sqrt(np.mean((m @ c - z) ** 2))), float(max(0.0, c[0]))  # mean of the ends less the middle is c[0]
+def shapes_of(p: np.ndarray, sizes: np.ndarray, voxel_ft: float = 0.5) -> np.ndarray:
+    """The SHAPES of components, given by their points one after another, all at once. The axis is that of the points
+    around their median; linearity, planarity and scattering are those of the sample covariance. A component of one
+    point stands upright and has no extent."""
+    parts = Parts(sizes)
+    n, one = parts.sizes, parts.sizes < 2
+    around = p - parts.quantile(p, 0.5)[parts.of]
+    axis = np.where(one[:, None], [0.0, 0.0, 1.0], parts.axes(around))
+    centred = p - (parts.sum(p) / n[:, None])[parts.of]
+    spread = parts.sum(centred[:, :, None] * centred[:, None, :]) / np.maximum(n - 1, 1)[:, None, None]
+    e = np.where(n[:, None] > 2, np.maximum(np.linalg.eigvalsh(spread)[:, ::-1], 0), 0)
+    forms = np.stack([e[:, 0] - e[:, 1], e[:, 1] - e[:, 2], e[:, 2]], axis=1) / np.maximum(e[:, :1], 1e-9)
+    own = axis[parts.of]
+    radial = np.linalg.norm(around - (around * own).sum(axis=1, keepdims=True) * own, axis=1) * voxel_ft
+    along = (around[:, :2] * parts.axes(around[:, :2])[parts.of]).sum(axis=1)
+    line = p[parts.order(along)]
+    step = np.linalg.norm(np.diff(line[:, :2], axis=0, prepend=line[:1, :2]), axis=1)
+    step[parts.starts] = 0.0
+    first, last = line[parts.starts], line[parts.starts + n - 1]
+    path, apart = parts.sum(step) * voxel_ft, np.linalg.norm((last - first)[:, :2], axis=1) * voxel_ft
+    bend = np.where(one, 1.0, path / np.maximum(apart, 1e-6))
+    rmse, sag = _sags(along * voxel_ft, p[:, 2] * voxel_ft, parts, voxel_ft)
+    return np.column_stack([axis, np.abs(axis[:, 2]), forms, parts.quantile(radial, 0.5), parts.quantile(radial, 0.9), path, apart, bend, rmse, sag, first, last])
+
+
+def _sags(s: np.ndarray, z: np.ndarray, parts: Parts, voxel_ft: float) -> tuple[np.ndarray, np.ndarray]:
+    """Errors of parabolas through wires seen from the side, and how far their middles hang below their ends: 0 for what
+    has fewer than six points or three places along, or no length."""
+    up = np.round(s, 6)[parts.order(np.round(s, 6))]
+    new = np.diff(up, prepend=up[0]) != 0
+    new[parts.starts] = True
+    low, high = (parts.quantile(s, q) for q in (0.0, 1.0))
+    fit = (parts.sizes >= 6) & (high - low >= max(2 * voxel_ft, 1e-6)) & (parts.sum(new.astype(int)) >= 3)
+    u = (s - ((low + high) / 2)[parts.of]) / np.maximum((high - low) / 2, 1e-9)[parts.of]
+    powers = u[:, None] ** np.arange(3)
+    left, right = parts.sum(powers[:, :, None] * powers[:, None, :]), parts.sum(powers * z[:, None])
+    size = np.linalg.eigvalsh(left)
+    fit &= size[:, 0] > 1e-13 * size[:, 2]
+    c = np.zeros_like(right)
+    c[fit] = np.linalg.solve(left[fit], right[fit][:, :, None])[:, :, 0]
+    rest = ((powers * c[parts.of]).sum(axis=1) - z) ** 2
+    return np.where(fit, np.sqrt(parts.sum(rest) / parts.sizes), 0.0), np.maximum(c[:, 2], 0.0)
+
+
+def _by_component(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """A slice's components, their points one after another by z, y and x, and how many each has."""
+    pdf = pdf.sort_values(["component", "z", "y", "x"])
+    sizes = pdf.groupby("component").size().to_numpy()
+    return pdf.drop_duplicates("component")[list(COMPONENT)].reset_index(drop=True), pdf[["x", "y", "z"]].to_numpy(float), sizes
 
 
 def shapes(points: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """SHAPES of every component. Components of a slice go to one task together; each is worked out on its own."""
+    """SHAPES of every component. Components of a slice are worked out together; a slice is bounded by its grid."""
     names = [c.split()[0] for c in SHAPES.split(", ")]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, *shape_of(g.sort_values(["z", "y", "x"])[["x", "y", "z"]].to_numpy(float), grid.voxel_ft)) for key, g in pdf.groupby(list(COMPONENT))]
-        return pd.DataFrame(rows, columns=[*COMPONENT, *names])
+        found, p, sizes = _by_component(pdf)
+        return pd.concat([found, pd.DataFrame(shapes_of(p, sizes, grid.voxel_ft), columns=names)], axis=1)
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*COMPONENT).schema.fields)
     return points.select(*COMPONENT, "x", "y", "z").groupBy(*SLICE).applyInPandas(work, f"{keys}, {SHAPES}")
@@ -183,13 +225,18 @@ def line_vertices(points: DataFrame, bin_voxels: float = 2.0) -> DataFrame:
     """Polylines: medians of the points in bins along each component's horizontal axis."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for key, g in pdf.groupby(list(COMPONENT)):
-            p = g.sort_values(["z", "y", "x"])[["x", "y", "z"]].to_numpy(float)
-            s = (p[:, :2] - np.median(p[:, :2], axis=0)) @ _axis(p[:, :2]) if len(p) > 1 else np.zeros(len(p))
-            bins = np.floor((s - s.min()) / bin_voxels).astype(int)
-            rows += [(*key, i, *np.median(p[bins == b], axis=0)) for i, b in enumerate(np.unique(bins))]
-        return pd.DataFrame(rows, columns=[*COMPONENT, "vertex_index", "x", "y", "z"])
+        found, p, sizes = _by_component(pdf)
+        parts = Parts(sizes)
+        around = (p - parts.quantile(p, 0.5)[parts.of])[:, :2]
+        s = (around * parts.axes(around)[parts.of]).sum(axis=1)
+        bins = np.floor((s - parts.quantile(s, 0.0)[parts.of]) / bin_voxels).astype(np.int64)
+        order = parts.order(bins)
+        of, bins = parts.of[order], bins[order]
+        new = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(bins) != 0)))
+        held = of[new]
+        index = np.arange(len(new)) - np.searchsorted(held, held)
+        middle = Parts(np.diff(np.append(new, len(p)))).quantile(p[order], 0.5)
+        return found.iloc[held].reset_index(drop=True).assign(vertex_index=index.astype(np.int32), x=middle[:, 0], y=middle[:, 1], z=middle[:, 2])
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*COMPONENT).schema.fields)
     return points.select(*COMPONENT, "x", "y", "z").groupBy(*SLICE).applyInPandas(work, f"{keys}, vertex_index int, x double, y double, z double")
