@@ -1,8 +1,9 @@
 """Quality: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is counted as n-grams of character classes: runs of lower-case letters, capitals and digits count as one class
-each, every punctuation mark as itself. With how often a word follows itself, these counts are weighted by tf-idf and
-projected on the leading singular vectors of the labelled sample. A document's score is the share of label 1 among its
+A text is counted as its words, whatever their case, and as n-grams of character classes: runs of lower-case letters,
+capitals and digits count as one class each, every punctuation mark as itself; with these goes how often a word follows
+itself. Both kinds of counts are weighted by tf-idf, made equally long, and projected on the leading singular vectors of
+the labelled sample. A document's score is the share of label 1 among its
 nearest labelled vectors, each weighted by a power of its cosine, and by how frequent its class is among the labels.
 """
 
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 from . import common, samples
 
-TERMS = 2048
+#: Buckets of n-grams of classes, then of words.
+SHAPES, WORDS = 2048, 2048
+TERMS = SHAPES + WORDS
 _REPEATS = np.array([0, 0.02, 0.1, 0.3, 0.6])
 _BLOCK = 256
 
@@ -48,6 +51,23 @@ def _classes() -> bytes:
 
 
 _CLASSES = _classes()
+#: Letters by byte (lower case, every byte of other alphabets); other bytes are 0 and part words.
+_LETTERS = np.array([ord(chr(b).lower()) if b < 0x80 and chr(b).isalpha() else b if b >= 0x80 else 0 for b in range(256)], np.uint32)
+_POWERS = np.cumprod(np.r_[1, np.full(1023, 0x01000193)].astype(np.uint32), dtype=np.uint32)
+
+
+def word_buckets(data: np.ndarray) -> np.ndarray:
+    """The bucket of every word, by a polynomial hash of its bytes."""
+    letters = _LETTERS[data]
+    inside = letters > 0
+    if not inside.any():
+        return np.empty(0, np.int64)
+    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    at = np.flatnonzero(inside)
+    word = np.searchsorted(starts, at, "right") - 1
+    values = letters[at] * _POWERS[(at - starts[word]) % len(_POWERS)]
+    heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    return ((np.add.reduceat(values, heads, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64)
 
 
 def term_counts(texts: list[str | None]) -> np.ndarray:
@@ -56,24 +76,34 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
     for i, text in enumerate(texts):
         if not text:
             continue
-        c = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_CLASSES, bytes(range(0x80, 0xC0))), np.uint8)
+        raw = text.encode("utf-8", "surrogatepass")
+        c = np.frombuffer(raw.translate(_CLASSES, bytes(range(0x80, 0xC0))), np.uint8)
         if not len(c):
             continue
         c = c[np.concatenate([[True], c[1:] != c[:-1]])].astype(np.uint32)
-        total = np.zeros(TERMS, np.int64)
+        total = np.zeros(SHAPES, np.int64)
         gram = c
         for n in range(4):
             if n:
                 gram = gram[:-1] * np.uint32(64) + c[n:]
             if len(gram):
-                total += np.bincount(((gram + np.uint32(n << 27)) * np.uint32(2654435761)) >> np.uint32(21), minlength=TERMS)
+                total += np.bincount(((gram + np.uint32(n << 27)) * np.uint32(2654435761)) >> np.uint32(21), minlength=SHAPES)
         w = text.split()
         share = sum(map(eq, w, w[1:])) / max(1, len(w))
         total[int(np.searchsorted(_REPEATS, share, "right"))] += len(w) * 4
-        out[i] = total
+        out[i, :SHAPES] = total
+        out[i, SHAPES:] = np.bincount(word_buckets(np.frombuffer(raw, np.uint8)), minlength=WORDS)
     return out
 
 
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Logarithms of counts by idf, rows of length 1: shapes and words have the same share of it."""
+    x = np.log1p(counts) * idf
+    for part in (x[:, :SHAPES], x[:, SHAPES:]):
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 @dataclass(frozen=True)
 class Model:
     idf: np.ndarray
@@ -86,9 +116,7 @@ class Model:
     power: float
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        v = x @ self.axes
+        v = weighted(counts, self.idf) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -110,7 +138,7 @@ class Model:
         return np.where(counts.any(1), np.clip(out, 0, 1), self.share).astype(float)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, dimensions: int = 32, neighbours: int = 25, power: float = 8.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, dimensions: int = 64, neighbours: int = 25, power: float = 8.0) -> Model:
     """Learn from at most per_class labelled documents of each class outside the held-out fold; their term counts come
     to the driver (2 * per_class * TERMS numbers at most)."""
     sample = samples.labelled(docs, labels, label, per_class)
@@ -129,8 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     keep = x.any(1)
     x, y = x[keep], y[keep]
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    z = np.log1p(x) * idf
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    z = weighted(x, idf)
     axes = np.random.default_rng(7).standard_normal((TERMS, dimensions + 8)).astype(np.float32)
     for _ in range(6 if len(z) else 0):  # subspace iteration
         axes, _ = np.linalg.qr(z.T @ (z @ axes))

@@ -417,3 +417,21 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 90), (95, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in common.components(links).collect()}
     assert got == {i: 0 for i in range(1, 21)} | {95: 90, 100: 90}
+
+
+def test_quality_tells_texts_of_equal_shape_apart_by_their_words(spark):
+    rng = np.random.default_rng(11)
+    kinds = [["casino", "jackpot", "winner", "bargain", "clicks"], ["theorem", "harvest", "granite", "history", "teacher"]]
+    texts = [" ".join(rng.choice(kinds[i % 2], 12)).capitalize() + "." for i in range(400)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    out = quality.classify(d, labels).where("held_out").collect()
+    assert len(out) > 40 and all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in out)
+
+
+def test_words_have_the_same_bucket_wherever_they_stand():
+    words = ["Alpha", "beta", "straße", "日本", "x" * 3000]
+    whole = quality.word_buckets(np.frombuffer("; ".join(words).encode(), np.uint8)).tolist()
+    assert whole == [quality.word_buckets(np.frombuffer(w.encode(), np.uint8))[0] for w in words]
+    assert quality.word_buckets(np.frombuffer(b"ALPHA 12 alpha", np.uint8)).tolist() == whole[:1] * 2
+    assert not len(quality.word_buckets(np.frombuffer(b"12 34", np.uint8))) and not len(quality.word_buckets(np.empty(0, np.uint8)))
