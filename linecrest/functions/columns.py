@@ -28,7 +28,8 @@ def linear_key(x: Column, y: Column, z: Column, gx: int, gy: int) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """c within low and high; null stays null, which greatest and least alone would pass over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def sigmoid(c: Column) -> Column:

@@ -94,7 +94,8 @@ def dataset_summary(raw: DataFrame, keys: tuple[str, ...] = ("group_id", "slice_
     many have each label (limited to 0..2), the bounds of their cells, the grid that holds all files and the file's
     class: the rarest label it has, pole, line or background."""
     cells = [C.voxel(F.col(c)).alias(c) for c in "xyz"]
-    label = C.clamp(F.round(C.number(F.col("label"))), 0, 2).cast("int").alias("label")
+    given = F.round(C.number(F.col("label")))
+    label = F.when(given.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(2), given))).cast("int").alias("label")
     df = raw.select(*keys, *cells, label).where("x >= 0 AND y >= 0 AND z >= 0 AND label IS NOT NULL")
     counts = [F.count_if(F.col("label") == k).alias(f"label_{k}") for k in range(3)]
     bounds = [f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in "xyz"]

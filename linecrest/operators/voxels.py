@@ -36,11 +36,15 @@ def quantize(raw: DataFrame, grid: Grid = Grid()) -> DataFrame:
 
 
 def clip_to_grid(raw: DataFrame, grid: Grid = Grid()) -> DataFrame:
-    """As quantize, but rows outside are moved to the border (the dense loader's rule)."""
+    """As quantize, but rows outside are moved to the border (the dense loader's rule); rows without a finite coordinate
+    go."""
     df = require(raw)
+    for c in REQUIRED:
+        df = df.withColumn(c, C.voxel(C.number(F.col(c))))
+    df = df.dropna(subset=list(REQUIRED))
     for c, n in (("x", grid.x), ("y", grid.y), ("z", grid.z)):
-        df = df.withColumn(c, F.greatest(F.lit(0), F.least(F.lit(n - 1), C.voxel(C.number(F.col(c))))))
-    return df.dropna(subset=list(REQUIRED))
+        df = df.withColumn(c, F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(c))))
+    return df
 
 
 def keep_last(voxels: DataFrame) -> DataFrame:

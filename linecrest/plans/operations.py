@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecrest.operators import fields, gates, metrics, replay_rules
+from linecrest.operators import fields, gates, metrics, reconstruct, replay_rules, slices, voxels
 from linecrest.plans import views
-from linecrest.plans.views import RAW_SQL, SCORED_SQL, SLICES_SQL, VOXELS_SQL
+from linecrest.plans.views import PATHS_SQL, RAW_SQL, SCORED_SQL, SLICES_SQL, VOXELS_SQL
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -207,6 +207,34 @@ def nested_settings(spark, d):
     return views.table(spark, d, "embeddings").select("vec_id", gates.nested(text, "pole.threshold", F.lit("none")).alias("threshold"))
 
 
+@query(f"WITH {RAW_SQL} SELECT group_id, slice_seq, source_row, least(15, greatest(0, CAST(round_even(x, 0) AS INTEGER))) AS x, least(15, greatest(0, CAST(round_even(y, 0) AS INTEGER))) AS y, least(7, greatest(0, CAST(round_even(z, 0) AS INTEGER))) AS z FROM raw_voxels WHERE source_row % 9 <> 0")
+def clip_to_grid(spark, d):
+    raw = views.raw_voxels(spark, d).withColumn("x", F.when(F.col("source_row") % 9 != 0, F.col("x")))
+    return voxels.clip_to_grid(raw, views.GRID).select("group_id", "slice_seq", "source_row", "x", "y", "z")
+
+
+@query(f"WITH {PATHS_SQL}, p AS (SELECT path FROM paths UNION ALL SELECT replace(path, 'session', 'part') FROM paths) SELECT path, CASE WHEN contains(path, 'session') THEN regexp_extract(path, 'session[0-9]+') ELSE split_part(path, '/', 2) END AS split_group FROM p")
+def split_groups(spark, d):
+    p = views.paths(spark, d)
+    return p.unionByName(p.select(F.replace("path", F.lit("session"), F.lit("part")).alias("path"))).select("path", slices.split_group(F.col("path")).alias("split_group"))
+
+
+@query(_DAYS + ", c AS (SELECT group_id, slice_seq, slice_seq * 100.0 AS cx, group_id * 10.0 AS cy FROM days WHERE slice_seq % 4 <> 0) SELECT event_id, (event_id % 16 + cx)::DOUBLE * 0.5 AS world_x_ft, (user_id % 16 + cy)::DOUBLE * 0.5 AS world_y_ft FROM slices JOIN c USING (group_id, slice_seq)")
+def world_places(spark, d):
+    objects = views.slices(spark, d).select("group_id", "slice_seq", "event_id", (F.col("event_id") % 16).alias("x"), (F.col("user_id") % 16).alias("y"))
+    centers = _days(spark, d).where("slice_seq % 4 <> 0").select("group_id", "slice_seq", (F.col("slice_seq") * 100.0).alias("center_x"), (F.col("group_id") * 10.0).alias("center_y"))
+    return reconstruct.to_world(objects, centers, ("x", "y")).select("event_id", "world_x_ft", "world_y_ft")
+
+
+@query(f"""WITH {SCORED_SQL}, j AS (SELECT line_score AS p, label = 2 AS y, vec_id % 5 <> 0 AS ok FROM scored WHERE label <> 1), t AS (SELECT range AS k, 0.02::DOUBLE + range * 0.01::DOUBLE AS t FROM range(97)),
+c AS (SELECT k, t, count(*) FILTER (WHERE y AND ok AND p + 1e-11 >= t) AS tp, count(*) FILTER (WHERE NOT y AND ok AND p + 1e-11 >= t) AS fp, count(*) FILTER (WHERE y) AS pos FROM t, j GROUP BY ALL),
+m AS (SELECT k, t, tp / greatest(tp + fp, 1) AS p, tp / greatest(pos, 1) AS r, tp / greatest(fp + pos, 1) AS i FROM c)
+SELECT round(t, 6) AS threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(i, 6) AS iou FROM m ORDER BY round(4 * i + 3 * r + p - 8 * (greatest(0, 0.9::DOUBLE - p) + 2 * greatest(0, 0.9::DOUBLE - r)), 9) DESC, t LIMIT 1""")
+def refiner_threshold(spark, d):
+    df = views.scored(spark, d).where("label <> 1").select(F.col("line_score").alias("probability"), (F.col("label") == 2).cast("int").alias("target"), (F.col("vec_id") % 5 != 0).alias("physical_ok"))
+    return _round(metrics.refiner_threshold(df).drop("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
