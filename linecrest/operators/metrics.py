@@ -59,8 +59,11 @@ def cm_from_histogram(hist: DataFrame, thresholds: DataFrame, bins: int = 21) ->
 
 
 def threshold_grid(df: DataFrame, steps: int, low: float, high: float) -> DataFrame:
+    """All pairs of `steps` thresholds, low + i * step: the step is one number, rounded to 12 digits, so that a step such as
+    0.05 is that number and a threshold has the last digit which decides about a score of the same value."""
     spark = df.sparkSession
-    t = spark.range(steps).select((F.lit(low) + F.col("id") * (high - low) / (steps - 1)).alias("t"))
+    step = round((high - low) / max(1, steps - 1), 12)
+    t = spark.range(steps).select((F.lit(low) + F.col("id") * step).alias("t"))
     return t.select(F.col("t").alias("pole_threshold")).crossJoin(t.select(F.col("t").alias("line_threshold")))
 
 

@@ -74,3 +74,14 @@ def test_refiner_learns_and_refuses(spark):
         refiner.train(df.withColumn("center_x", F.lit(1.0)), ["height", "center_x"])
     with pytest.raises(ValueError, match="both"):
         refiner.train(df.where("target = 1"), ["height"])
+
+
+def test_threshold_search_has_the_thresholds_of_its_sql(spark):
+    # 0.2 + 3 * 0.05 is a little more than 0.35, so poles of bin 7 of 20 do not pass it
+    rows = [(0, 7, 0, 50), (1, 8, 0, 100), (2, 0, 20, 100), (0, 0, 0, 100)]
+    hist = spark.createDataFrame(rows, "label int, pole_bin int, line_bin int, n long")
+    grid = metrics.threshold_grid(hist, 16, 0.2, 0.95)
+    assert {r["pole_threshold"] for r in grid.collect()} == {0.2 + i * 0.05 for i in range(16)}
+    assert [r["line_threshold"] for r in metrics.threshold_grid(hist, 4, 0.3, 0.675).collect()][:4] == [0.3 + i * 0.125 for i in range(4)]
+    best = metrics.threshold_search(hist, 16).collect()[0]
+    assert (round(best["pole_threshold"], 6), best["line_threshold"]) == (0.35, 0.2)
