@@ -223,17 +223,25 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     trees = common.stage(dealt.withColumn("place", place).withColumn("tree", F.pmod("place", split[F.col("pivot")]).cast("int")).groupBy("pivot", "tree").applyInPandas(grow, "pivot int, tree int, packed binary"), "trees")
     queries = dealt.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by(F.struct("v", "pivot"), F.struct("v")).alias("q")).select(F.col("vec_id").alias("query_id"), F.col("q.v").alias("q"), F.col("q.pivot").alias("pivot"))
 
-    def ask(asked: DataFrame, against: DataFrame, keys: list[str]) -> DataFrame:
-        """asked: keys, query_id, q, floor. Searches every tree that has a query's keys, BLOCK queries or so at a time."""
+    tasks = max(spark.sparkContext.defaultParallelism, 4 * len(cells), sum(-(-n // tree_rows) for n, _ in cells.values()))
+
+    def ask(asked: DataFrame, keys: list[str]) -> DataFrame:
+        """asked: keys, query_id, q, floor. Searches every tree that has a query's keys, BLOCK queries or so at a time. A
+        tree goes to one task, and blocks of queries to each of its trees; neither passes the driver, as a broadcast
+        would, which Catalyst plans since it takes collected blocks for far smaller than they are."""
         size = asked.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
         blocks = asked.join(size, keys).withColumn("_block", F.pmod(F.xxhash64("query_id"), "_blocks")).groupBy(*keys, "_block").agg(F.collect_list(F.struct("query_id", "q", "floor")).alias("asked"))
-        tasks = max(spark.sparkContext.defaultParallelism, 4 * len(cells))
-        met = blocks.join(against, keys).select("pivot", "asked", "packed").repartition(tasks)
+        if "tree" not in keys:
+            blocks = blocks.withColumn("tree", F.explode(F.sequence(F.lit(0), split[F.col("pivot")].cast("int") - 1)))
+        placed = [x.repartition(tasks, "pivot", "tree") for x in (blocks.select("pivot", "tree", "asked"), trees)]
+        met = placed[0].join(placed[1].hint("merge"), ["pivot", "tree"]).select("pivot", "tree", "asked", "packed")
 
         def look(part: Iterable[Row]) -> Iterator[tuple]:
             heads, extra = shared.value
+            at, tree = None, None
             for row in part:
-                tree = Tree.unpack(bytes(row["packed"]))
+                if at != (row["pivot"], row["tree"]):
+                    at, tree = (row["pivot"], row["tree"]), Tree.unpack(bytes(row["packed"]))
                 head = heads[row["pivot"]]
                 q = _matrix([a["q"] for a in row["asked"]], dims)
                 d = np.sqrt(((q - head) ** 2).sum(1) + extra[row["pivot"]] ** 2)
@@ -245,7 +253,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
         return spark.createDataFrame(met.rdd.mapPartitions(look), schema)
 
     nothing = -float(top) - 1
-    first = ask(queries.withColumn("tree", F.pmod(F.xxhash64("query_id"), split[F.col("pivot")]).cast("int")).withColumn("floor", F.lit(nothing)), trees, ["pivot", "tree"])
+    first = ask(queries.withColumn("tree", F.pmod(F.xxhash64("query_id"), split[F.col("pivot")]).cast("int")).withColumn("floor", F.lit(nothing)), ["pivot", "tree"])
     floors = common.stage(first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor")), "floors")
     radii = np.array([cells.get(p, (0, -1.0))[1] for p in range(len(heads))])
     shared_radii = spark.sparkContext.broadcast(radii)
@@ -263,7 +271,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
 
     known = queries.drop("pivot").join(floors, "query_id", "left").select("query_id", "q", F.coalesce("floor", F.lit(nothing)).alias("floor"))
     everywhere = common.stage(known.mapInPandas(reach, "query_id long, q binary, floor double, pivot int"), "reach")
-    found = ask(everywhere, trees.drop("tree"), ["pivot"])
+    found = ask(everywhere, ["pivot"])
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -68,6 +68,22 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
+def test_trees_and_blocks_of_queries_do_not_pass_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    asked, rdd = [], DataFrame.rdd.func
+    monkeypatch.setattr(DataFrame, "rdd", property(lambda df: asked.append(df) or rdd(df)))
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert mtree.top_k(df, tree_rows=100).count() == 60
+    plans = [p for p in (q._jdf.queryExecution().executedPlan().toString() for q in asked) if "packed" in p]
+    assert len(plans) == 2
+    for plan in plans:
+        first = next(line for line in plan.splitlines() if "Join" in line)
+        assert "SortMergeJoin" in first and "tree" in first
+
+
 @pytest.mark.parametrize("limits", [{}, {"members": 6, "shingles": 900}])
 def test_jaccard_join_equals_brute_force(spark, texts, limits):
     rng = random.Random(9)
