@@ -1,7 +1,9 @@
 """What the registered queries of session reconstruction are fed with."""
 
+import numpy as np
 import pytest
 
+from linecrest.operators import reconstruct as R
 from linecrest.plans import stage3
 
 
@@ -35,3 +37,25 @@ def test_every_observation_is_a_pole(spark, found, monkeypatch):
     found["nearest_pole"](spark, "")
     found["pole_height_adjust"](spark, "")
     assert [g.count() for g in got] == [36, 36, 36]
+
+
+def test_windows_are_not_joined_to_few_tasks(spark, found):
+    from pyspark.sql import functions as F
+
+    windows = found["window_summary"](spark, "")
+    assert windows.select(F.spark_partition_id().alias("task"), "window_seq").distinct().groupBy("task").count().count() > 1
+
+
+def test_joins_that_cannot_be_are_told_at_once():
+    rng = np.random.default_rng(6)
+    frags = []
+    for k in range(60):
+        at, way = rng.uniform(0, 60, 2), rng.choice([0.0, 0.1])
+        x = np.linspace(0, 12, 5)
+        frags.append(R.Fragment(f"L{k}", int(rng.integers(0, 4)), 0.8, np.column_stack([at[0] + x, at[1] / 20 + way * x, 20 + 0.02 * x])))
+    pairs = np.argwhere(np.triu(np.ones((60, 60), bool), 1))
+    for bridge in (False, True):
+        limits = R.Limits.of(R.R, bridge)
+        may = R._may_join(frags, pairs, limits, R.R)
+        joined = np.array([R.join_of(frags[i], frags[j], limits) is not None for i, j in pairs.tolist()])
+        assert joined.sum() > 10 and not (joined & ~may).any() and may.sum() < len(pairs) / 2
