@@ -154,6 +154,22 @@ def test_passages_whose_seeds_others_have_first(spark):
         assert set(range(e, e + 51)) <= own and len(own & set(range(f, f + 120))) >= 100
 
 
+def test_every_earlier_document_is_a_partner_if_asked_for(spark):
+    passage = prose(70, 120).split()
+    edited = [w if i % 12 else f"other{i}" for i, w in enumerate(passage)]
+    # each part of the passage stands in a document before the whole one and in one after it, so these are its first and last
+    parts = [passage[i : i + 24] for i in range(0, 120, 12)]
+    rows = [prose(700 + k, 60) + " " + " ".join(x) + " " + prose(800 + k, 60) for k, x in enumerate(parts)]
+    rows += [prose(71, 60) + " " + " ".join(passage) + " " + prose(72, 60)]
+    rows += [prose(900 + k, 60) + " " + " ".join(x) + " " + prose(1000 + k, 60) for k, x in enumerate(parts)]
+    rows += [prose(73, 60) + " " + " ".join(edited) + " " + prose(74, 60)]
+    d, last = docs(spark, rows), len(rows) - 1
+    found = lambda **k: [r for r in substring.passages(d, **k).collect() if r["doc_id"] == last]
+    assert not found() and {r["source_id"] for r in found(every_earlier=True)} == {len(parts)}
+    left = {r["doc_id"]: r["text"] for r in substring.without_repeats(d, every_earlier=True).collect()}
+    assert passage[50] in edited and len(left[last].split()) < 140
+
+
 def test_rejected_chain_is_parted():
     rng = np.random.default_rng(2)
     a, b = (rng.integers(0, 1 << 32, 135, dtype=np.uint64).astype("<u4") for _ in range(2))
